@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash_dedup import minhash_dedup
 from .suffix_dedup import suffix_dedup
 
 
@@ -17,6 +18,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash_dedup(table(spark, sf_dir, "documents"), words_per_shingle=4, per_cent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
