@@ -1,0 +1,82 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lakewright.llm.toxicity import GRAMS, Model, held_out, passages, subwords, toxicity, train, train_toxicity
+
+BAD = ["grumph", "blarzig", "snorkish", "vexoid"]
+
+
+def texts(n, seed, bad=BAD):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 7)))
+    out = []
+    for i in range(n):
+        w = [word() for _ in range(r.randint(5, 120))]
+        if toxic := i % 3 == 0:
+            for _ in range(r.randint(1, 3)):
+                w.insert(r.randrange(len(w)), r.choice(bad))
+        out.append((i, " ".join(w), int(toxic)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def model():
+    rows = texts(500, 1)
+    return train([t for _, t, _ in rows], np.array([y for *_, y in rows]), bits=15)
+
+
+def test_held_out_accuracy(model):
+    rows = texts(300, 2)
+    score = model.scores(pa.array([t for _, t, _ in rows]))
+    y = np.array([y for *_, y in rows])
+    assert ((score >= 0.7) == y).mean() > 0.97
+
+
+def test_unseen_misspellings_are_caught(model):
+    score = model.scores(pa.array(["last more grumphh on it", "mole sit blarzigg tin", "non sore vexoids male", "moon sail ten"]))
+    assert (score[:3] > 0.5).all() and score[3] < 0.5
+
+
+def test_subwords_are_those_of_each_word():
+    strings = ["Ab, cde!", "", "É abc", "--"]
+    data = "".join(strings).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(s.encode()) for s in strings])])
+    w = subwords(np.frombuffer(data, np.uint8), offsets, 16)
+    sizes = [sum(max(0, len(x.encode()) + 2 - n + 1) for n in GRAMS) for x in ("ab", "cde", "é", "abc")]
+    assert w.sizes.tolist() == sizes and w.first.tolist() == [0, 2, 2, 4, 4]
+    begin, end, at = passages(w, 4)
+    assert list(zip(begin, end, strict=True)) == [(0, 2), (2, 4)] and at.tolist() == [0, 1, 1, 2, 2]
+    upper = subwords(np.frombuffer("ÉABC".encode(), np.uint8), np.array([0, 5]), 16)
+    lower = subwords(np.frombuffer("éabc".encode(), np.uint8), np.array([0, 5]), 16)
+    assert (upper.gram == lower.gram).all()
+
+
+def test_scores_do_not_depend_on_the_batch(model):
+    t = [x for _, x, _ in texts(40, 5)] + [None, "", "..."]
+    alone = [model.scores(pa.array([x], pa.string()))[0] for x in t]
+    assert np.allclose(alone, model.scores(pa.array(t, pa.string())), atol=1e-6)
+
+
+def test_operator(spark):
+    rows = texts(240, 3)
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t, _ in rows] + [(None, None, 1.0), (1000, "", 1.0), (1000, "", 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y, 5) for i, _, y in rows] + [(None, 1, 2), (3, None, 1), (4, 7, 1)], "doc_id long, toxic int, text int")
+    out = toxicity(docs, train_toxicity(docs, labels)).select("doc_id", held_out().alias("h"), "score", "predicted").collect()
+    assert len(out) == len(rows) + 3
+    y = dict((i, y) for i, _, y in rows)
+    assert np.mean([r.predicted == y[r.doc_id] for r in out if r.doc_id in y]) > 0.85
+    for r in out:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        assert r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.predicted for r in toxicity(docs, train_toxicity(docs, none)).collect()] == [0, 0]
+    assert toxicity(docs.limit(0), train_toxicity(docs.limit(0), none)).count() == 0
+    assert Model(np.zeros(4), 0.0, 4, 2).scores(pa.array([], pa.string())).tolist() == []
