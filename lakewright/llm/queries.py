@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id as lang
 from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .suffix_dedup import suffix_dedup
@@ -31,6 +32,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lang.language_id(docs.select("doc_id", "text"), lang.train_language_id(docs))
+    return out.select("doc_id", lang.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -42,6 +49,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op7_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op4_language_id, op7_toxicity, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

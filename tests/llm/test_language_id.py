@@ -1,0 +1,64 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lakewright.llm.language_id import held_out, language_id, mixtures, train_language_id, word_grams
+
+ALPHABETS = {"aa": "abcdeo", "bb": "klmnuè", "cc": "pqrsiß"}
+
+
+def text(r, lang, n):
+    return " ".join("".join(r.choice(ALPHABETS[lang]) for _ in range(r.randint(2, 7))) for _ in range(n)).capitalize()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(1)
+    rows = [(i, text(r, lang := r.choice(list(ALPHABETS)), r.randint(3, 80)), lang, 0.5) for i in range(400)]
+    rows += [(1000, None, "aa", 0.1), (1001, "", "aa", 0.1), (1002, "12 34 ++ 5", "bb", 0.1), (None, text(r, "cc", 9), "cc", 0.1), (1003, text(r, "bb", 9), None, 0.1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+
+
+def test_held_out_accuracy(docs):
+    out = language_id(docs, train_language_id(docs)).withColumn("h", held_out()).collect()
+    assert len(out) == 405
+    held = [r for r in out if r.h and r.doc_id < 1000]
+    assert len(held) > 50 and np.mean([r.lang == r.lang_pred for r in held]) > 0.98
+    for r in out:
+        assert 0 <= r.score <= 1 and r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if r.doc_id in (1000, 1001, 1002):
+            assert r.lang_pred == "und" and r.score == 0
+        if r.doc_id in (None, 1003):
+            assert r.lang_pred == ("cc" if r.doc_id is None else "bb")
+
+
+def test_mixed_texts_get_their_languages(docs):
+    model = train_language_id(docs)
+    r = random.Random(4)
+    words = (text(r, "aa", 60) + " " + text(r, "bb", 40)).split()
+    r.shuffle(words)
+    (name,), (score,), (found,) = model.predict(pa.array([" ".join(words)]))
+    assert name == "aa" and {x for x, _ in found} == {"aa", "bb"} and abs(score - 0.6) < 0.06
+    assert abs(sum(s for _, s in found) - 1) < 1e-6
+
+
+def test_em_does_not_lower_the_likelihood():
+    r = np.random.default_rng(2)
+    like, first = r.normal(0, 3, (60, 3)), np.array([0, 20, 21, 60])
+    logs = [mixtures(like, first, np.ones((3, 3)), k)[1] for k in (0, 1, 2, 5, 20)]
+    assert all((b >= a - 1e-9).all() for a, b in zip(logs, logs[1:], strict=False))
+
+
+def test_word_grams():
+    w = word_grams(np.frombuffer("Ab 9c--éd".encode(), np.uint8), np.array([0, 3, 3, 10]))
+    assert w.first.tolist() == [0, 1, 1, 3] and w.start.tolist() == [0, 2, 3] and len(w.row) == 6
+
+
+def test_no_rows_and_no_training_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id(none, train_language_id(none)).count() == 0
+    one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id(one, train_language_id(one)).collect()] == ["und"]
