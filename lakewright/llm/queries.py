@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id as lang
 from .minhash_dedup import minhash_dedup
 from .packing import pack
+from .pii import KINDS, find_pii
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity, train_toxicity
 
@@ -38,6 +39,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_columns(found: DataFrame) -> DataFrame:
+    """Counts and a digest of the plain spans, and all spans as text."""
+    plain = F.filter("pii", lambda s: ~s["disguised"])
+    text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    of = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(plain), 256).alias("base_sha256"), text(F.col("pii")).alias("spans"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_columns(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +63,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op4_language_id, op7_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op4_language_id, op6_pii, op7_toxicity, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
