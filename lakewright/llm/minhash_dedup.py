@@ -20,7 +20,7 @@ from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_key, span_ha
 from .graph import components
 
 ROWS, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 3e-6
-SKETCH = 1024  # bits
+SKETCH = 4096  # bits, and bins of the samples
 BLOCK = 1024  # members of a bucket that are compared at a time
 CHUNK = 1 << 18
 
@@ -65,16 +65,27 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(least: np.ndarray, bits: int = SKETCH) -> np.ndarray:
-    """Each MinHash sample, with its index, flips one bit."""
-    at = mixed((least.astype(np.uint64) + np.uint64(1)) * _FOLD[5]) % np.uint64(bits)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+def odd_sketch(s: np.ndarray, bits: int = SKETCH) -> tuple[np.ndarray, int]:
+    """Parity bitmap of one-permutation MinHash samples, and their number.
+
+    The leading bits of a hash choose one of `bits` bins, and a bin's sample is its least hash; so of a sorted set the
+    samples are the first hashes of each bin. Each sample flips the bit that its own hash chooses.
+    """
+    bins = s >> np.uint64(64 - int(bits).bit_length() + 1)
+    samples = s[np.append(True, bins[1:] != bins[:-1])]
+    at = mixed(samples * _FOLD[5, 0]) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1), len(samples)
 
 
-def estimated(flips: np.ndarray, samples: int = ROWS * BANDS, bits: int = SKETCH) -> np.ndarray:
-    """Similarity from the population count of two sketches' XOR: unequal samples put two odd bits each."""
-    z = np.minimum(flips / bits, 0.4999)
-    return 1 + bits / (4 * samples) * np.log1p(-2 * z)
+def estimated(flips, size_a, size_b, samples_a, samples_b, near: float = 0.8, bits: int = SKETCH) -> np.ndarray:
+    """Similarity from the population count of two sketches' XOR, most exact about `near`.
+
+    The count tells how many samples differ. Bins that either set reaches follow from the sizes.
+    """
+    differ = -bits / 2 * np.log1p(-2 * np.minimum(np.asarray(flips) / bits, 0.4999))
+    union = (np.asarray(size_a) + size_b) / (1 + near)
+    reached = bits * -np.expm1(union * np.log1p(-1 / bits))
+    return (np.asarray(samples_a) + samples_b - differ) / 2 / reached
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -84,19 +95,20 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, cls, bands, sketch = [], [], [], []
+        n, cls, bands, sketch, samples = [], [], [], [], []
         for s in shingle_sets(batch.column("text"), size):
             n.append(len(s))
             if not len(s):
-                cls.append(None), bands.append(None), sketch.append(None)
+                cls.append(None), bands.append(None), sketch.append(None), samples.append(0)
                 continue
             least = minhashes(s)
             cls.append(xxhash.xxh3_128_digest(s))
             bands.append(_bands(least).view(np.int64))
-            sketch.append(odd_sketch(least).tobytes())
+            flipped, count = odd_sketch(s)
+            sketch.append(flipped.tobytes()), samples.append(count)
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-            ["doc_id", "key", "n_shingles", "cls", "bands", "sketch"],
+            [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(samples, pa.int32())],
+            ["doc_id", "key", "n_shingles", "cls", "bands", "sketch", "samples"],
         )
 
 
@@ -108,10 +120,12 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            ok = estimated(_flips(_stack(batch.column("sa")), _stack(batch.column("sb")))) >= least
+            na, nb, ka, kb = (np.asarray(batch.column(c)) for c in ("na", "nb", "ka", "kb"))
+            guess = estimated(_flips(_stack(batch.column("sa")), _stack(batch.column("sb"))), na, nb, ka, kb, near)
+            ok = (guess >= least) & (np.minimum(na, nb) >= near * np.maximum(na, nb) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -131,30 +145,28 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> It
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components within a block of a bucket: its members against the bucket's minority."""
 
-    def compare(rows: list[tuple]) -> tuple[list, list]:
-        members, minority = [r for r in rows if not r[4]], [r for r in rows if r[4]]
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        members, minority = [r for r in rows if not r[6]], [r for r in rows if r[6]]
         a, b = [], []
         if members and minority:
-            ms = np.frombuffer(b"".join(r[3] for r in members), np.uint64).reshape(len(members), -1)
+            sketches = np.frombuffer(b"".join(r[3] for r in members), np.uint64).reshape(len(members), -1)
             number = {c: k for k, c in enumerate({r[2] for r in rows})}
-            mc = np.array([number[r[2]] for r in members])
+            of, size, samples = (np.array(x) for x in zip(*((number[r[2]], r[4], r[5]) for r in members), strict=True))
             for r in minority:
-                ok = (mc != number[r[2]]) & (estimated(_flips(ms, np.frombuffer(r[3], np.uint64))) >= least)
-                for k in np.flatnonzero(ok):
+                ok = (of != number[r[2]]) & (np.minimum(size, r[4]) >= near * np.maximum(size, r[4]) - 1e-9)
+                at = np.flatnonzero(ok)
+                flips = _flips(sketches[at], np.frombuffer(r[3], np.uint64))
+                for k in at[estimated(flips, size[at], r[4], samples[at], r[5], near) >= least]:
                     a.append(max(r[1], members[k][1]))
                     b.append(min(r[1], members[k][1]))
-        return a, b
-
-    def out(rows):
-        a, b = compare(rows)
         return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     held, key = [], None
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "lone")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "size", "samples", "lone")], strict=True):
             if row[:2] != key:
                 if held:
                     yield out(held)
@@ -164,7 +176,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield out(held)
 
 
-def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80, slack: float = 0.2) -> DataFrame:
+def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80, slack: float = 0.04) -> DataFrame:
     """Groups of near copies. Takes doc_id and text; returns doc_id, n_shingles, component_id and kept, and key.
 
     Texts are lower-cased in A-Z and split at space and \\t..\\r. Two rows are linked if their sets of word shingles have
@@ -176,16 +188,16 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string").withColumn("key", row_key("doc_id", "text"))
-    least = per_cent / 100 - slack
-    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary")
+    near, least = per_cent / 100, per_cent / 100 - slack
+    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int")
     base = scratch.keep(base)
     alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("one"))
-    first = base.select("cls", "bands", "sketch", F.col("key").alias("one")).where("cls is not null")
+    first = base.select("cls", "bands", "sketch", "samples", F.col("n_shingles").alias("size"), F.col("key").alias("one")).where("cls is not null")
     classes = scratch.keep(alike.join(first, ["cls", "one"]).dropDuplicates(["cls"]))
     members = classes.select(F.explode("bands").alias("band"), "cls")
     pivots = members.groupBy("band").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = scratch.keep(members.join(pivots, "band").select("band", "cls", "pivot"))
-    sketches = classes.select("cls", "sketch")
+    sketches = classes.select("cls", "sketch", "size", "samples")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs a, b that are similar enough."""
@@ -197,8 +209,8 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
         return both.mapInArrow(lambda x: _verified(x, words_per_shingle, per_cent), "a binary, b binary")
 
     pairs = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    likely = scratch.keep(pairs.mapInArrow(lambda x: _likely(x, least), "a binary, b binary"))
+    pairs = pairs.join(sketches.toDF("a", "sa", "na", "ka"), "a").join(sketches.toDF("b", "sb", "nb", "kb"), "b")
+    likely = scratch.keep(pairs.mapInArrow(lambda x: _likely(x, least, near), "a binary, b binary"))
     links = scratch.keep(linked(likely))
     roots = components(links, scratch)
 
@@ -209,11 +221,11 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     mixed_bands = mixed_bands.select("band", F.col("top.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(mixed_bands, "band").join(sketches, "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    common = ["band", "cls", "root", "sketch"]
+    common = ["band", "cls", "root", "sketch", "size", "samples"]
     minority = left.where("root <> major").select(*common, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lone"))
     rest = left.select(*common, block.alias("block"), F.lit(False).alias("lone")).union(minority)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(lambda x: _across(x, least), "a binary, b binary").distinct()
+    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(lambda x: _across(x, least, near), "a binary, b binary").distinct()
     rest = scratch.keep(rest.join(likely, ["a", "b"], "left_anti"))
     if rest.take(1):
         more = scratch.keep(linked(rest))

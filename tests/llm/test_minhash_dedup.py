@@ -8,7 +8,7 @@ import pytest
 
 from lakewright.llm.common import Scratch
 from lakewright.llm.graph import components
-from lakewright.llm.minhash_dedup import estimated, minhash_dedup, minhashes, odd_sketch, shingle_sets
+from lakewright.llm.minhash_dedup import estimated, minhash_dedup, odd_sketch, shingle_sets
 
 SCHEMA = "doc_id long, text string"
 
@@ -103,16 +103,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
 
-def test_odd_sketch_estimates_similarity():
-    r = np.random.default_rng(1)
-    for same in (600, 800, 900):
+@pytest.mark.parametrize("size", [90, 1000, 20000])
+def test_odd_sketch_estimates_similarity(size):
+    r = np.random.default_rng(size)
+    for share in (0.77, 0.8, 0.83):
+        same = round(2 * size * share / (1 + share))
         errors = []
         for _ in range(20):
-            x = r.integers(0, 2**63, 2000 - same, dtype=np.uint64)
-            a, b = np.unique(x[:1000]), np.unique(x[1000 - same :])
-            flips = np.bitwise_count(odd_sketch(minhashes(a)) ^ odd_sketch(minhashes(b))).sum()
-            errors.append(estimated(np.array(flips)) - same / (2000 - same))
-        assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
+            x = r.integers(0, 2**63, 2 * size - same, dtype=np.uint64) << np.uint64(1)
+            a, b = np.unique(x[:size]), np.unique(x[size - same :])
+            (sa, ka), (sb, kb) = odd_sketch(a), odd_sketch(b)
+            flips = np.bitwise_count(sa ^ sb).sum()
+            errors.append(float(estimated(flips, len(a), len(b), ka, kb)) - same / (2 * size - same))
+        assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.012
 
 
 def test_shingle_sets_follow_the_definition():
