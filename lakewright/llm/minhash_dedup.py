@@ -88,6 +88,11 @@ def estimated(flips, size_a, size_b, samples_a, samples_b, near: float = 0.8, bi
     return (np.asarray(samples_a) + samples_b - differ) / 2 / reached
 
 
+def margin(size_a, size_b, near: float = 0.8, bits: int = SKETCH) -> np.ndarray:
+    """More than four standard deviations of the estimate; full bitmaps tell less."""
+    return 0.035 + 0.03 * -np.expm1(-(np.asarray(size_a) + size_b) / (1 + near) / bits)
+
+
 def _bands(least: np.ndarray) -> np.ndarray:
     parts = least.astype(np.uint64).reshape(BANDS, ROWS) + np.uint64(1)
     return mixed((parts * _FOLD[:ROWS, :BANDS].T).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _FOLD[6, 0])
@@ -120,12 +125,12 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _likely(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             na, nb, ka, kb = (np.asarray(batch.column(c)) for c in ("na", "nb", "ka", "kb"))
             guess = estimated(_flips(_stack(batch.column("sa")), _stack(batch.column("sb"))), na, nb, ka, kb, near)
-            ok = (guess >= least) & (np.minimum(na, nb) >= near * np.maximum(na, nb) - 1e-9)
+            ok = (guess >= near - margin(na, nb, near)) & (np.minimum(na, nb) >= near * np.maximum(na, nb) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -145,7 +150,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> It
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components within a block of a bucket: its members against the bucket's minority."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -159,7 +164,8 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Ite
                 ok = (of != number[r[2]]) & (np.minimum(size, r[4]) >= near * np.maximum(size, r[4]) - 1e-9)
                 at = np.flatnonzero(ok)
                 flips = _flips(sketches[at], np.frombuffer(r[3], np.uint64))
-                for k in at[estimated(flips, size[at], r[4], samples[at], r[5], near) >= least]:
+                guess = estimated(flips, size[at], r[4], samples[at], r[5], near)
+                for k in at[guess >= near - margin(size[at], r[4], near)]:
                     a.append(max(r[1], members[k][1]))
                     b.append(min(r[1], members[k][1]))
         return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -176,19 +182,19 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, near: float) -> Ite
         yield out(held)
 
 
-def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80, slack: float = 0.04) -> DataFrame:
+def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:
     """Groups of near copies. Takes doc_id and text; returns doc_id, n_shingles, component_id and kept, and key.
 
     Texts are lower-cased in A-Z and split at space and \\t..\\r. Two rows are linked if their sets of word shingles have
     a Jaccard similarity of per_cent / 100 or more, counted on full sets. component_id is the least doc_id that links
     reach; of several rows with that id in a group, those with the least key are kept. Null, empty and blank texts have no
     shingles and are linked with nothing. A null doc_id is passed over when the least is taken; a group of nulls alone
-    has a null component_id. Pairs are taken up if the odd sketches' estimate is at most `slack` too low.
+    has a null component_id. Pairs are taken up if the odd sketches' estimate comes within its margin of error.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string").withColumn("key", row_key("doc_id", "text"))
-    near, least = per_cent / 100, per_cent / 100 - slack
+    near = per_cent / 100
     base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int")
     base = scratch.keep(base)
     alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("one"))
@@ -210,7 +216,7 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
 
     pairs = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = pairs.join(sketches.toDF("a", "sa", "na", "ka"), "a").join(sketches.toDF("b", "sb", "nb", "kb"), "b")
-    likely = scratch.keep(pairs.mapInArrow(lambda x: _likely(x, least, near), "a binary, b binary"))
+    likely = scratch.keep(pairs.mapInArrow(lambda x: _likely(x, near), "a binary, b binary"))
     links = scratch.keep(linked(likely))
     roots = components(links, scratch)
 
@@ -225,7 +231,7 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     minority = left.where("root <> major").select(*common, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lone"))
     rest = left.select(*common, block.alias("block"), F.lit(False).alias("lone")).union(minority)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(lambda x: _across(x, least, near), "a binary, b binary").distinct()
+    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(lambda x: _across(x, near), "a binary, b binary").distinct()
     rest = scratch.keep(rest.join(likely, ["a", "b"], "left_anti"))
     if rest.take(1):
         more = scratch.keep(linked(rest))

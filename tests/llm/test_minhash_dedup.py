@@ -8,7 +8,7 @@ import pytest
 
 from lakewright.llm.common import Scratch
 from lakewright.llm.graph import components
-from lakewright.llm.minhash_dedup import estimated, minhash_dedup, odd_sketch, shingle_sets
+from lakewright.llm.minhash_dedup import estimated, margin, minhash_dedup, odd_sketch, shingle_sets
 
 SCHEMA = "doc_id long, text string"
 
@@ -115,7 +115,8 @@ def test_odd_sketch_estimates_similarity(size):
             (sa, ka), (sb, kb) = odd_sketch(a), odd_sketch(b)
             flips = np.bitwise_count(sa ^ sb).sum()
             errors.append(float(estimated(flips, len(a), len(b), ka, kb)) - same / (2 * size - same))
-        assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.012
+        assert abs(np.mean(errors)) + 3 * np.std(errors) < float(margin(size, size)) or share != 0.8
+        assert abs(np.mean(errors)) < 0.025 and np.std(errors) < 0.015
 
 
 def test_shingle_sets_follow_the_definition():
