@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id as lang
+from .chat_quotes import link_quotes
 from .decontaminate import contamination
+from .embedding_dedup import embedding_dedup
 from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .pii import KINDS, find_pii
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity, train_toxicity
+from .url_filter import filter_urls
+
+# Host, path and verdict (fixed values).
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +46,22 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = lang.language_id(docs.select("doc_id", "text"), lang.train_language_id(docs))
     return out.select("doc_id", lang.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_columns(found: DataFrame) -> DataFrame:
     """Counts and a digest of the plain spans, and all spans as text."""
     plain = F.filter("pii", lambda s: ~s["disguised"])
@@ -64,10 +86,47 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash_dedup, op4_language_id, op6_pii, op7_toxicity, op8_decontamination, op10_best_fit_packing)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_minhash_dedup,
+        op3_embedding_dedup,
+        op4_language_id,
+        op5_url_filter,
+        op6_pii,
+        op7_toxicity,
+        op8_decontamination,
+        op9_quotation_linking,
+        op10_best_fit_packing,
+    )
+}
+
+_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+_BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests
+)
+SELECT page_id, host, path,
+       CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)} ELSE NULL END AS rule,
+       CASE {" ".join(f"WHEN {_FITS.format(h=h, p=p)} THEN '{v}'" for h, p, v in _BY_LENGTH)} ELSE 'allow' END AS verdict
+FROM parts
+""",
+}

@@ -1,0 +1,104 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
+from lakewright.llm.embedding_dedup import codes, embedding_dedup
+from lakewright.llm.lattice import decode, minimal_vectors, probes
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, least=0.98):
+    n = len(rows)
+    ok = [v is not None and len(v) and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in rows]
+    unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if k else None for (_, v, _), k in zip(rows, ok, strict=True)]
+    links = [[] for _ in rows]
+    for i in range(n):
+        for j in range(i):
+            if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least - 1e-12:
+                links[i].append(j), links[j].append(i)
+    out, seen = {}, {}
+    for i in range(n):
+        if i in seen:
+            continue
+        group, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in group:
+                    group.add(j), todo.append(j)
+        for j in group:
+            seen[j] = min((rows[k][0] for k in group if rows[k][0] is not None), default=None)
+    for i in range(n):
+        out[i] = (rows[i][0], len(links[i]), seen[i], rows[i][0] is not None and rows[i][0] == seen[i])
+    return Counter(out.values())
+
+
+def got(spark, rows, **options):
+    out = embedding_dedup(spark.createDataFrame(rows, SCHEMA), **options).collect()
+    return Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+
+
+def test_minimal_vectors_and_decoding():
+    short = minimal_vectors()
+    assert len({tuple(v) for v in short}) == 240 and np.allclose((short**2).sum(1), 2)
+    x = np.random.default_rng(1).normal(0, 2, (500, 8))
+    near = decode(x)
+    twice = 2 * near
+    assert (twice == np.rint(twice)).all() and (near.sum(1) % 2 == 0).all()
+    assert ((twice % 2 == 0).all(1) | (twice % 2 == 1).all(1)).all()
+    d = ((x - near) ** 2).sum(1)
+    assert (d <= 1 + 1e-9).all()  # the covering radius
+    for v in short:
+        assert (d <= ((x - near - v) ** 2).sum(1) + 1e-9).all()
+    p = probes(x, 5)
+    e = ((x[:, None] - p) ** 2).sum(2)
+    others = np.sort(((x[:, None] - near[:, None] - short) ** 2).sum(2), axis=1)[:, :4]
+    assert np.allclose(np.sort(e[:, 1:], axis=1), others)
+
+
+def test_recall_of_the_index():
+    r = np.random.default_rng(3)
+    a = r.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = r.normal(size=a.shape)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    b = 0.9801 * a + math.sqrt(1 - 0.9801**2) * noise  # as far apart as links may be
+    x, y = codes(a, 6, 3, 3.0), codes(b, 6, 3, 3.0)
+    met = ((x == y[:, :, :1]).any(2) | (y == x[:, :, :1]).any(2)).any(1)
+    assert met.mean() > 0.97
+
+
+def test_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(12, 16))
+    rows = []
+    for i in range(160):
+        v = base[i % 12] + r.normal(0, 0.02 if i % 3 else 0.2, 16)
+        rows.append((i, [float(x) for x in v * r.uniform(0.5, 2)], int(r.integers(0, 2))))
+    rows += [(200 + i, rows[7][1], rows[7][2]) for i in range(9)]
+    random.Random(1).shuffle(rows)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0, 0.0], 1), (4, [1.0, None, 2.0], 1), (5, [nan, 1.0, 1.0], 1), (6, [inf, 1.0, 1.0], 1)]
+    rows += [(7, v, None), (8, v, 1), (8, v, 1), (9, [2.0, 4.0, 6.0], 1), (10, v, 2), (None, v, 1), (11, [1.0, 2.0], 1), (12, [-1.0, -2.0, -3.0], 1), (None, None, None), (13, [1e-30, 2e-30, 3e-30], 1), (14, [-0.0, 0.0, 5.0], 3), (15, [0.0, 0.0, 5.0], 3)]
+    assert got(spark, rows) == brute(rows)
+    assert got(spark, []) == Counter()
+
+
+def test_large_cells_are_split_into_blocks(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=8)
+    rows = [(i, [float(x) for x in base + r.normal(0, 0.03, 8)], 1) for i in range(1300)]
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    out = {k.vec_id: k.n_links for k in embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    have = np.array([out[i] for i in range(1300)])
+    assert (have <= want).all() and have.sum() > 0.98 * want.sum()
