@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -164,45 +165,45 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def completions(counts: np.ndarray, room: int, width: int, nodes: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first: nothing more fits, and no piece, nor two pieces together,
-    could give way to a longer piece that is left."""
+def completions(left: list[int], room: int, width: int, nodes: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` from left[length] pieces, least waste first, `width` at most.
+
+    In a filling nothing more fits, and no piece, nor two together, could give way to a longer piece that is left. One that
+    wastes nothing ends the search: it cannot be dominated.
+    """
+    have = [s for s in range(1, min(room, len(left) - 1) + 1) if left[s]]
     found: list[tuple[int, tuple[int, ...]]] = []
-    left = counts
-    have = np.flatnonzero(left[: room + 1])
     stack: list[tuple[int, tuple[int, ...], int]] = [(room, (), room)]
     while stack and nodes:
         nodes -= 1
         space, chosen, most = stack.pop()
-        options = have[: np.searchsorted(have, min(space, most), side="right")]
-        options = [int(s) for s in options[-width:] if left[s] > chosen.count(s)]
-        if not options:
-            fits = have[: np.searchsorted(have, space, side="right")]
-            if not any(left[s] > chosen.count(int(s)) for s in fits[-8:]):
-                found.append((space, chosen))
-                if not space and sum(not w for w, _ in found) >= width:
-                    break
+        end = bisect_right(have, min(space, most))
+        options = [s for s in have[max(0, end - width) : end] if left[s] > chosen.count(s)]
+        if options:
+            stack += [(space - s, (*chosen, s), s) for s in options]
             continue
-        stack += [(space - s, (*chosen, s), s) for s in options]
-    free = lambda s, chosen: left[s] > chosen.count(s)
+        if not space:
+            return [chosen]
+        if not any(left[s] > chosen.count(s) for s in have[: bisect_right(have, space)]):
+            found.append((space, chosen))
 
     def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
-        if not waste:
-            return False
-        for i, s in enumerate(chosen):
-            if any(left[t] and free(t, chosen) for t in range(s + 1, min(s + waste, room) + 1)):
-                return True
-            for r in chosen[i + 1 :]:
-                if any(left[t] and free(t, chosen) for t in range(s + r, min(s + r + waste, room) + 1)):
+        given = [*chosen, *(r + s for i, r in enumerate(chosen) for s in chosen[i + 1 :])]
+        for g in given:
+            for t in have[bisect_right(have, g) : bisect_right(have, g + waste)]:
+                if left[t] > chosen.count(t):
                     return True
         return False
 
     found.sort(key=lambda x: (x[0], tuple(-s for s in x[1])))
-    kept = [c for w, c in found if not dominated(w, c)]
-    return (kept or [c for _, c in found[:1]] or [()])[:width]
+    kept: list[tuple[int, ...]] = []
+    for waste, chosen in found:
+        if len(kept) < width and chosen not in kept and not dominated(waste, chosen):
+            kept.append(chosen)
+    return kept or [c for _, c in found[:1]] or [()]
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = 20_000, width: int = 4) -> list[Pattern]:
+def complete(counts: np.ndarray, capacity: int, nodes: int = 4_000, width: int = 4) -> list[Pattern]:
     """A plan for counts[length] pieces of each length, with as few sequences as the search finds."""
     best = best_fit(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -214,7 +215,7 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = 20_000, width: int
         longest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[longest] -= 1
-        stack.append((left, used, longest, completions(rest, capacity - longest, width, 300)))
+        stack.append((left, used, longest, completions(rest.tolist(), capacity - longest, width, 200)))
 
     if fewest > bound:
         opened(counts.copy(), 0)
