@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 from typing import Any
 
@@ -24,6 +25,33 @@ _WIDER: dict[type, tuple[type, ...]] = {
 }
 
 
+_ATOMIC = {k().simpleString(): k() for k in ORDERED if k is not T.DecimalType} | {"byte": T.ByteType(), "short": T.ShortType(), "long": T.LongType(), "integer": T.IntegerType()}
+
+
+def parsed(text: str) -> T.DataType:
+    """A type from its short name, as simpleString writes it; needs no session."""
+    text = text.strip()
+    if text in _ATOMIC:
+        return _ATOMIC[text]
+    if m := re.fullmatch(r"decimal\((\d+),\s*(-?\d+)\)", text):
+        return T.DecimalType(int(m[1]), int(m[2]))
+    if m := re.fullmatch(r"(array|map|struct)<(.*)>", text, re.S):
+        parts, depth = [""], 0
+        for c in m[2]:
+            depth += (c in "<(") - (c in ">)")
+            if c == "," and not depth:
+                parts.append("")
+            else:
+                parts[-1] += c
+        if m[1] == "struct":
+            fields = [p.split(":", 1) for p in parts if p]
+            return T.StructType([T.StructField(n.strip(), parsed(k)) for n, k in fields])
+        kinds = [parsed(p) for p in parts]
+        if len(kinds) == (1 if m[1] == "array" else 2):
+            return T.ArrayType(*kinds) if m[1] == "array" else T.MapType(*kinds)
+    raise SchemaError(f"no type: {text}")
+
+
 def column(name: str, kind: T.DataType | str, nullable: bool = True, aliases: Iterable[str] = (), default: Any = _MISSING) -> T.StructField:
     """A field; aliases: earlier names; default: what rows written without the column hold."""
     metadata: dict[str, Any] = {}
@@ -32,7 +60,7 @@ def column(name: str, kind: T.DataType | str, nullable: bool = True, aliases: It
     if default is not _MISSING:
         metadata["default"] = default
     if isinstance(kind, str):
-        kind = T._parse_datatype_string(f"x {kind}")["x"].dataType
+        kind = parsed(kind)
     return T.StructField(name, kind, nullable, metadata)
 
 
