@@ -25,20 +25,20 @@ KINDS = 2048  # segments of one anchor that are sorted together
 _POS = np.uint64((1 << 20) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, chunk: int = CHUNK):
     """For texts laid end to end: text, start within data, number of windows, anchor hash of each segment."""
     width = length - gram + 1
     sizes = np.diff(offsets)
-    for i, j in groups(sizes, CHUNK):
+    for i, j in groups(sizes, chunk):
         lo, hi = int(offsets[i]), int(offsets[j])
-        for base in range(lo, max(hi - length + 1, lo + 1), CHUNK):
-            part = data[base : min(base + CHUNK + length - 1, hi)] if hi - lo > CHUNK else data[lo:hi]
+        for base in range(lo, max(hi - length + 1, lo + 1), chunk):
+            part = data[base : min(base + chunk + length - 1, hi)] if hi - lo > chunk else data[lo:hi]
             if len(part) < length:
                 continue
             h = gram_hashes(part, gram)
             tagged = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
             least = (window_min(tagged, width) & _POS).astype(np.int64)  # leftmost position of the anchor
-            if hi - lo > CHUNK:
+            if hi - lo > chunk:
                 begin, end, owner = np.array([0]), np.array([len(part) - length + 1]), np.array([i])
             else:
                 owner = np.arange(i, j)[sizes[i:j] >= length]
@@ -53,7 +53,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             ok = (of >= 0) & (at < end[of])
             at, of = at[ok], of[ok]
             stop = np.minimum(np.append(at[1:], len(least)), end[of])
-            yield owner[of], at + (base if hi - lo > CHUNK else lo), stop - at, h[least[at]]
+            yield owner[of], at + (base if hi - lo > chunk else lo), stop - at, h[least[at]]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -185,9 +185,11 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) -> DataFr
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string").withColumn("key", row_key("doc_id", "text"))
     counted = docs.select("text").mapInArrow(lambda b: _anchors(b, length, gram), "anchor long, n long")
-    shared = counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # Written first, so that both sides of the join are plain exchanges and hot anchors can be split at run time.
+    shared = scratch.keep(counted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     places = docs.mapInArrow(lambda b: _occurrences(b, length, gram), "anchor long, digest long, doc_id long, key long, start long, windows int")
     places = scratch.keep(places.join(shared, "anchor"))
+    scratch.drop(shared)
     kinds = places.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start", "windows")).alias("one"))
     kinds = scratch.keep(kinds)
     unlike = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", F.ceil(F.col("k") / KINDS).cast("int").alias("parts"))

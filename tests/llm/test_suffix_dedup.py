@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lakewright.llm.suffix_array import common_prefixes, repeated, two_stage
-from lakewright.llm.suffix_dedup import suffix_dedup
+from lakewright.llm.suffix_dedup import segments, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -94,12 +94,21 @@ def test_edges(spark):
     assert rows(spark, []) == Counter()
 
 
-def test_texts_longer_than_a_chunk(spark, monkeypatch):
-    from lakewright.llm import suffix_dedup as module
-
-    monkeypatch.setattr(module, "CHUNK", 300)
-    data = list(enumerate([*some_texts(4, 30), "".join(some_texts(4, 30))]))
-    assert rows(spark, data, length=40) == want(data, 40)
+@pytest.mark.parametrize("chunk", [50, 300, 1 << 18])
+def test_segments_hold_every_window_once_and_equal_windows_share_an_anchor(chunk):
+    texts = [*some_texts(4, 25), "", "x" * 400, "".join(some_texts(4, 12))]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    seen, anchor = Counter(), {}
+    for of, start, n, h in segments(data, offsets, 40, 16, chunk):
+        for i, a, k, x in zip(of.tolist(), start.tolist(), n.tolist(), h.tolist(), strict=True):
+            assert k <= 25
+            for w in range(a, a + k):
+                seen[w] += 1
+                assert offsets[i] <= w and w + 40 <= offsets[i + 1]
+                assert anchor.setdefault(data[w : w + 40].tobytes(), x) == x
+    assert set(seen.values()) <= {1} and len(seen) == sum(max(0, len(b) - 39) for b in raw)
 
 
 def test_other_columns_do_not_matter(spark):
