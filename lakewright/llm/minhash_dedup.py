@@ -112,8 +112,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             flipped, count = odd_sketch(s)
             sketch.append(flipped.tobytes()), samples.append(count)
         yield pa.record_batch(
-            [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(samples, pa.int32())],
-            ["doc_id", "key", "n_shingles", "cls", "bands", "sketch", "samples"],
+            [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(samples, pa.int32()), pa.array([b if b is None else b.tobytes() for b in bands], pa.binary())],
+            ["doc_id", "key", "n_shingles", "cls", "bands", "sketch", "samples", "all_bands"],
         )
 
 
@@ -160,9 +160,12 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
             sketches = np.frombuffer(b"".join(r[3] for r in members), np.uint64).reshape(len(members), -1)
             number = {c: k for k, c in enumerate({r[2] for r in rows})}
             of, size, samples = (np.array(x) for x in zip(*((number[r[2]], r[4], r[5]) for r in members), strict=True))
+            bands = np.frombuffer(b"".join(r[7] for r in members), np.int64).reshape(len(members), -1)
             for r in minority:
                 ok = (of != number[r[2]]) & (np.minimum(size, r[4]) >= near * np.maximum(size, r[4]) - 1e-9)
                 at = np.flatnonzero(ok)
+                shared = bands[at] == np.frombuffer(r[7], np.int64)  # a pair counts where it meets first
+                at = at[bands[at, shared.argmax(axis=1)] == r[0][0]]
                 flips = _flips(sketches[at], np.frombuffer(r[3], np.uint64))
                 guess = estimated(flips, size[at], r[4], samples[at], r[5], near)
                 for k in at[guess >= near - margin(size[at], r[4], near)]:
@@ -172,7 +175,7 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
 
     held, key = [], None
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "size", "samples", "lone")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "size", "samples", "lone", "all_bands")], strict=True):
             if row[:2] != key:
                 if held:
                     yield out(held)
@@ -208,21 +211,23 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     scratch = Scratch(spark)
     docs = typed(docs, doc_id="long", text="string").withColumn("key", row_key("doc_id", "text"))
     near = per_cent / 100
-    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int")
+    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int, all_bands binary")
     base = scratch.keep(base)
     alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("one"))
-    first = base.select("cls", "bands", "sketch", "samples", F.col("n_shingles").alias("size"), F.col("key").alias("one")).where("cls is not null")
+    first = base.select("cls", "bands", "all_bands", "sketch", "samples", F.col("n_shingles").alias("size"), F.col("key").alias("one")).where("cls is not null")
     classes = scratch.keep(alike.join(first, ["cls", "one"]).dropDuplicates(["cls"]))
     members = classes.select(F.explode("bands").alias("band"), "cls")
     pivots = members.groupBy("band").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = scratch.keep(members.join(pivots, "band").select("band", "cls", "pivot"))
     sketches = classes.select("cls", "sketch", "size", "samples")
+    every_band = classes.select("cls", "all_bands")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs a, b that are similar enough."""
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         needed = classes.select("cls", "one").join(needed, "cls")
-        text = docs.join(needed, F.col("key") == F.col("one")).select("cls", "text").dropDuplicates(["cls"])
+        # Written, so that the joins below read plain exchanges and a frequent pivot can be split at run time.
+        text = scratch.keep(docs.join(needed, F.col("key") == F.col("one")).select("cls", "text").dropDuplicates(["cls"]))
         ta, tb = text.toDF("a", "ta"), text.toDF("b", "tb")
         both = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return both.mapInArrow(lambda x: _verified(x, words_per_shingle, per_cent), "a binary, b binary")
@@ -238,9 +243,9 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed_bands = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
     mixed_bands = mixed_bands.select("band", F.col("top.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(mixed_bands, "band").join(sketches, "cls")
+    left = placed.join(mixed_bands, "band").join(sketches, "cls").join(every_band, "cls")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    common = ["band", "cls", "root", "sketch", "size", "samples"]
+    common = ["band", "cls", "root", "sketch", "size", "samples", "all_bands"]
     minority = left.where("root <> major").select(*common, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lone"))
     rest = left.select(*common, block.alias("block"), F.lit(False).alias("lone")).union(minority)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
