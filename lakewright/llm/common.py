@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 _own_dir: str | None = None
 
 
@@ -41,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        ship(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/lakewright-{uuid.uuid4().hex}"
@@ -59,6 +62,7 @@ class Scratch:
 
 def typed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; columns of other names, whatever they are, do not disturb an operator."""
+    ship(df.sparkSession)
     return df.select(*[df[f"`{c}`"].cast(kind).alias(c) for c, kind in columns.items()])
 
 

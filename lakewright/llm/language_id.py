@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
 from .common import groups, prefix_sums, span_hashes, typed, utf8
 from .toxicity import _MARK, lowered
 
@@ -164,6 +165,7 @@ def language_id(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Takes text. Null texts and texts without letters, and all texts if the model knows no language, get `und` and 0.
     Words in letters of any script count. Earlier columns of these names are replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 

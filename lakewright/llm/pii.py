@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -189,6 +191,7 @@ def pii_spans(text: Column) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """All columns of docs and `pii`, the spans found in text; null and empty texts have none. Replaces an earlier pii."""
+    ship(docs.sparkSession)
     return docs.withColumn("pii", pii_spans(F.col("text")))
 
 
@@ -208,4 +211,5 @@ def mask_pii(docs: DataFrame) -> DataFrame:
         for texts in parts:
             yield pa.array([masked(t, s) if (s := find(t)) else t for t in texts.to_pylist()], pa.string())
 
+    ship(docs.sparkSession)
     return docs.withColumn("text", F.arrow_udf(done, "string")(F.col("text")))

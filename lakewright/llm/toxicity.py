@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
 from .common import LOWER, groups, mixed, prefix_sums, span_hashes, typed, utf8
 
 GRAMS = (3, 4, 5)
@@ -192,8 +193,8 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     Takes text. A null or empty text, or one without words, gets the score of the bias alone. Earlier columns named
     score or predicted are replaced.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
