@@ -184,7 +184,7 @@ def test_upsert_and_merge(spark, path):
         with pytest.raises(error):
             t.upsert(bad, "id")
     with pytest.raises(ValueError):
-        t.merge(source, "id", MergeSpec().__class__((), ()) if False else MergeSpec((), ()) or None)
+        t.merge(source, "id", MergeSpec())
     assert t.version == 3
 
 
@@ -413,3 +413,24 @@ def test_conflicts_between_mutations(spark, path, monkeypatch):
     with pytest.raises(ConflictError):
         t.append(people(spark, [5]))
     assert not [f for f in t.storage.files("data") if "5" == f.key]
+
+
+def test_records(spark, path):
+    from lakewright.records import Record, RecordTable
+
+    t = RecordTable(VersionedTable(spark, path))
+    for bad in ((1, " ", 1), (1, "a", -1)):
+        with pytest.raises(ValueError):
+            Record(*bad)
+    a, b, c = Record(1, "Ann", 30), Record(2, "Bob", 40), Record(3, "Cy", 50)
+    assert t.append([a, b], "app", 1) == 0 and t.append([c], "app", 1) == 0 and t.upsert([c]) == 1
+    key = lambda r: r.id
+    assert sorted(t.read_all(), key=key) == [a, b, c] and sorted(t.read(0), key=key) == [a, b] and t.count() == 3
+    assert t.query_id_range(2, 2) == [b] and t.query("age > 45") == [c] and t.query(lambda r: r.name == "Ann") == [a] and t.query({"age": (35, 45)}) == [b]
+    t.delete("id = 1")
+    t.merge([Record(2, "Rob", 41)], MergeSpec().when_matched_update())
+    assert sorted(t.read_all(), key=key) == [Record(2, "Rob", 41), c]
+    other = RecordTable(grown(spark, path + "x", [1]))
+    other.table.evolve_schema(T.StructType([f for f in other.table.schema if f.name != "age"]))
+    with pytest.raises(TypeError):
+        other.read_all()
