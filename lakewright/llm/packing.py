@@ -282,7 +282,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(parts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
+    # Merged, not broadcast: its rows are as many as lengths times tasks.
+    ranked = pieces.join(parts.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, places = shared.value
