@@ -42,17 +42,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """From edges a, b (of one orderable type) to vertex and root, the least vertex of its component.
 
     Vertices without an edge to another are not in the result. Alternates large and small stars: each vertex links its
-    larger neighbours, then its smaller ones, to the least vertex near it, until nothing changes. The least is found by
+    larger neighbours, then its smaller ones, to the least vertex near it, until only stars are left. The least is found by
     an aggregate and given back by a join with one row for each vertex, so that hubs are spread over tasks.
     """
     kind = edges.schema["a"].dataType.simpleString()
     now = scratch.keep(edges.where("a <> b").mapInArrow(_thinned, f"a {kind}, b {kind}").distinct())
-    before = None
     while True:
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before or not mark[0]:
+        ends = now.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("b", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("v").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)")
+        if not loose.take(1):  # every vertex points at one root, and no root points on
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-        before = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
