@@ -192,10 +192,10 @@ def one_of_each_group(docs: DataFrame, words_per_shingle: int = 5, per_cent: int
     count as one row.
     """
     found = minhash_dedup(docs, words_per_shingle, per_cent)
-    marks = found.where("head is null or key = head").select(F.col("key").alias("_key")).distinct()
+    marks = found.where("head is null or key = head").select(F.col("key").alias("_lakewright_key")).distinct()
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    named = docs.withColumn("_key", F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())).dropDuplicates(["_key"])
-    return named.join(marks, "_key", "left_semi").drop("_key")
+    named = docs.withColumn("_lakewright_key", F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())).dropDuplicates(["_lakewright_key"])
+    return named.join(marks, "_lakewright_key", "left_semi").drop("_lakewright_key")
 
 
 def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:

@@ -53,6 +53,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         expanded = urls.select("host", "path", F.lit("").alias("digest")).limit(0)
     expanded = expanded.withColumn("short", F.substring("digest", 1, PREFIX))
     judged = expanded.join(rules, "short").where("digest = full").groupBy("host", "path").agg(F.max("r").alias("r"))
-    judged = judged.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "r")
-    out = pages.join(judged, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
-    return out.withColumns({"rule": F.col("r.rule"), "verdict": F.coalesce("r.verdict", F.lit(default))}).drop("r")
+    names = ["_lakewright_host", "_lakewright_path", "_lakewright_rule"]
+    judged = judged.toDF(*names)
+    out = pages.join(judged, (F.col("host") == F.col(names[0])) & (F.col("path") == F.col(names[1])), "left")
+    found = F.col(names[2])
+    return out.withColumns({"rule": found["rule"], "verdict": F.coalesce(found["verdict"], F.lit(default))}).drop(*names)

@@ -49,6 +49,12 @@ def test_edges(spark):
     assert filter_urls(spark.createDataFrame([], PAGES), spark.createDataFrame(URL_RULES, RULES)).count() == 0
 
 
+def test_columns_of_other_names_stay(spark):
+    rows = [(1, "http://a.com/en/", "r", "h", 3)]
+    out = filter_urls(spark.createDataFrame(rows, "page_id long, url string, r string, full string, short int"), spark.createDataFrame(URL_RULES, RULES))
+    assert out.columns == ["page_id", "url", "r", "full", "short", "host", "path", "rule", "verdict"] and out.first().r == "r"
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_against_brute_force(spark, seed):
     r = random.Random(seed)
