@@ -155,6 +155,42 @@ least AS (SELECT vec_id, min(r) AS component_id FROM reached GROUP BY vec_id),
 degrees AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
 SELECT l.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, l.vec_id = component_id AS kept
 FROM least l LEFT JOIN degrees d ON d.vec_id = l.vec_id
+""",
+    "op9_quotation_linking": r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text, coalesce(regexp_matches(text, '(?m)^[ \t]{0,3}>'), false) AS quoted FROM conversations),
+split AS (SELECT id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM m WHERE quoted),
+lines AS (SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM split),
+levels AS (SELECT id, k, line, len(regexp_replace(regexp_extract(line, '^[ \t]{0,3}((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]{0,3}((?:>[ \t]?)+)', '') AS body FROM lines),
+near AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM levels WINDOW w AS (PARTITION BY id ORDER BY k)),
+own AS (
+  SELECT id, string_agg(line, chr(10) ORDER BY k) AS body FROM near
+  WHERE level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(line, '(?i)^\s*(?:on .+ wrote|am .+ schrieb.*|le .+ a écrit|el .+ escribió|.{1,80} (?:wrote|said|writes))\s*:\s*$'))
+  GROUP BY id
+),
+cleaned AS (SELECT m.id, conv_id, turn, role, CASE WHEN quoted THEN regexp_replace(regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') ELSE text END AS content FROM m LEFT JOIN own ON own.id = m.id),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> level THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS run FROM near),
+passages AS (SELECT id, run, min(level) AS level, string_agg(body, chr(10) ORDER BY k) AS passage FROM numbered WHERE level > 0 GROUP BY id, run),
+pieces AS (
+  SELECT id, run, level, unnest(string_split(regexp_replace(regexp_replace(passage, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) AS x FROM passages
+  UNION ALL
+  SELECT id, NULL, NULL, unnest(string_split(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '([.!?]) ', '\1' || chr(10), 'g'), chr(10))) FROM cleaned
+),
+sentences AS (SELECT DISTINCT conv_id, turn, run, level, trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM pieces JOIN m USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+firsts AS (SELECT conv_id, s, min(turn) AS source FROM sentences WHERE run IS NULL AND s <> '' GROUP BY conv_id, s),
+votes AS (SELECT q.conv_id, q.turn, run, level, source, count(*) AS n FROM sentences q JOIN firsts f ON f.conv_id = q.conv_id AND f.s = q.s WHERE run IS NOT NULL AND source < q.turn GROUP BY q.conv_id, q.turn, run, level, source),
+best AS (SELECT conv_id, turn, run, level, max({'n': n, 'source': source}) AS b FROM votes GROUP BY conv_id, turn, run, level),
+linked AS (SELECT conv_id, turn, count(*) AS n_linked, (max(b) FILTER (WHERE level = 1)).source AS parent_turn FROM best GROUP BY conv_id, turn),
+steps(conv_id, turn, thread, depth) AS (
+  SELECT conv_id, turn, parent_turn, 1 FROM linked WHERE parent_turn IS NOT NULL
+  UNION ALL
+  SELECT p.conv_id, p.turn, l.parent_turn, p.depth + 1 FROM steps p JOIN linked l ON l.conv_id = p.conv_id AND l.turn = p.thread WHERE l.parent_turn IS NOT NULL
+),
+roots AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM steps GROUP BY conv_id, turn),
+counts AS (SELECT id, count(*) AS n FROM passages GROUP BY id)
+SELECT c.conv_id, c.turn, role, content, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(content, '') AS formatted,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, parent_turn,
+       coalesce(thread, c.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth
+FROM cleaned c LEFT JOIN counts k ON k.id = c.id LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN roots r ON r.conv_id = c.conv_id AND r.turn = c.turn
 """,
     "op5_url_filter": f"""
 WITH rests AS (

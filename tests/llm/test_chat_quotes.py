@@ -71,6 +71,23 @@ def test_no_row_is_lost(spark, linked):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def test_against_sql(spark, linked):
+    import duckdb
+    import pandas as pd
+
+    from lakewright.llm.queries import ORACLE_SQL
+
+    _, data = linked
+    con = duckdb.connect()
+    frame = pd.DataFrame(data, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    rows = con.execute(ORACLE_SQL["op9_quotation_linking"])
+    names = [d[0] for d in rows.description]
+    want = sorted(map(repr, rows.fetchall()))
+    got = link_quotes(spark.createDataFrame(data, SCHEMA)).select(*names).collect()
+    assert sorted(repr(tuple(r)) for r in got) == want
+
+
 def test_long_chains_and_long_texts(spark):
     data = [(7, 0, "user", "Line number 0 of the chain.")]
     data += [(7, i, "user", f"> Line number {i - 1} of the chain.\nLine number {i} of the chain.") for i in range(1, 40)]
