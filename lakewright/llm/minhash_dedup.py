@@ -20,7 +20,7 @@ from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_key, span_ha
 from .graph import components
 
 ROWS, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 3e-6
-SKETCH = 4096  # bits, and bins of the samples
+SKETCH, BINS = 8192, 1 << 17  # bits of a sketch; bins that its samples are taken from
 BLOCK = 1024  # members of a bucket that are compared at a time
 CHUNK = 1 << 18
 
@@ -65,32 +65,41 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(s: np.ndarray, bits: int = SKETCH) -> tuple[np.ndarray, int]:
+def odd_sketch(s: np.ndarray, bits: int = SKETCH, bins: int = BINS) -> tuple[np.ndarray, int]:
     """Parity bitmap of one-permutation MinHash samples, and their number.
 
-    The leading bits of a hash choose one of `bits` bins, and a bin's sample is its least hash; so of a sorted set the
+    The leading bits of a hash choose one of the bins, and a bin's sample is its least hash; so of a sorted set the
     samples are the first hashes of each bin. Each sample flips the bit that its own hash chooses.
     """
-    bins = s >> np.uint64(64 - int(bits).bit_length() + 1)
-    samples = s[np.append(True, bins[1:] != bins[:-1])]
+    of = s >> np.uint64(65 - bins.bit_length())
+    samples = s[np.append(True, of[1:] != of[:-1])]
     at = mixed(samples * _FOLD[5, 0]) % np.uint64(bits)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1), len(samples)
 
 
-def estimated(flips, size_a, size_b, samples_a, samples_b, near: float = 0.8, bits: int = SKETCH) -> np.ndarray:
+def estimated(flips, size_a, size_b, samples_a, samples_b, near: float = 0.8, bits: int = SKETCH, bins: int = BINS) -> np.ndarray:
     """Similarity from the population count of two sketches' XOR, most exact about `near`.
 
     The count tells how many samples differ. Bins that either set reaches follow from the sizes.
     """
     differ = -bits / 2 * np.log1p(-2 * np.minimum(np.asarray(flips) / bits, 0.4999))
     union = (np.asarray(size_a) + size_b) / (1 + near)
-    reached = bits * -np.expm1(union * np.log1p(-1 / bits))
+    reached = bins * -np.expm1(union * np.log1p(-1 / bins))
     return (np.asarray(samples_a) + samples_b - differ) / 2 / reached
 
 
-def margin(size_a, size_b, near: float = 0.8, bits: int = SKETCH) -> np.ndarray:
-    """More than four standard deviations of the estimate; full bitmaps tell less."""
-    return 0.035 + 0.03 * -np.expm1(-(np.asarray(size_a) + size_b) / (1 + near) / bits)
+def margin(size_a, size_b, near: float = 0.8) -> np.ndarray:
+    """More than four standard deviations of the estimate below; fuller bitmaps tell less, and very small sets come in steps."""
+    union = (np.asarray(size_a) + size_b) / (1 + near)
+    return 0.014 + 0.4 / union + 0.006 * -np.expm1(-union / 8000)
+
+
+def may_link(flips, size_a, size_b, samples_a, samples_b, near: float) -> np.ndarray:
+    """Whether a pair's similarity may reach `near`. Nearly full bitmaps, of very large sets, tell nothing and pass."""
+    size_a, size_b = np.asarray(size_a), np.asarray(size_b)
+    guess = estimated(flips, size_a, size_b, samples_a, samples_b, near)
+    near_sizes = np.minimum(size_a, size_b) >= near * np.maximum(size_a, size_b) - 1e-9
+    return near_sizes & ((guess >= near - margin(size_a, size_b, near)) | (np.asarray(flips) > 0.45 * SKETCH))
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -129,8 +138,7 @@ def _likely(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
     for batch in batches:
         if batch.num_rows:
             na, nb, ka, kb = (np.asarray(batch.column(c)) for c in ("na", "nb", "ka", "kb"))
-            guess = estimated(_flips(_stack(batch.column("sa")), _stack(batch.column("sb"))), na, nb, ka, kb, near)
-            ok = (guess >= near - margin(na, nb, near)) & (np.minimum(na, nb) >= near * np.maximum(na, nb) - 1e-9)
+            ok = may_link(_flips(_stack(batch.column("sa")), _stack(batch.column("sb"))), na, nb, ka, kb, near)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -167,8 +175,7 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
                 shared = bands[at] == np.frombuffer(r[7], np.int64)  # a pair counts where it meets first
                 at = at[bands[at, shared.argmax(axis=1)] == r[0][0]]
                 flips = _flips(sketches[at], np.frombuffer(r[3], np.uint64))
-                guess = estimated(flips, size[at], r[4], samples[at], r[5], near)
-                for k in at[guess >= near - margin(size[at], r[4], near)]:
+                for k in at[may_link(flips, size[at], r[4], samples[at], r[5], near)]:
                     a.append(max(r[1], members[k][1]))
                     b.append(min(r[1], members[k][1]))
         return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
