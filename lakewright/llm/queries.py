@@ -86,8 +86,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_columns(linked: DataFrame) -> DataFrame:
+    """parent_turn is -1 where a message has no parent."""
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
+
+
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return op9_columns(link_quotes(table(spark, sf_dir, "conversations")))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +193,7 @@ steps(conv_id, turn, thread, depth) AS (
 roots AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM steps GROUP BY conv_id, turn),
 counts AS (SELECT id, count(*) AS n FROM passages GROUP BY id)
 SELECT c.conv_id, c.turn, role, content, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(content, '') AS formatted,
-       CAST(coalesce(n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, parent_turn,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(parent_turn, -1) AS BIGINT) AS parent_turn,
        coalesce(thread, c.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth
 FROM cleaned c LEFT JOIN counts k ON k.id = c.id LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN roots r ON r.conv_id = c.conv_id AND r.turn = c.turn
 """,

@@ -75,7 +75,7 @@ def test_against_sql(spark, linked):
     import duckdb
     import pandas as pd
 
-    from lakewright.llm.queries import ORACLE_SQL
+    from lakewright.llm.queries import ORACLE_SQL, op9_columns
 
     _, data = linked
     con = duckdb.connect()
@@ -84,7 +84,7 @@ def test_against_sql(spark, linked):
     rows = con.execute(ORACLE_SQL["op9_quotation_linking"])
     names = [d[0] for d in rows.description]
     want = sorted(map(repr, rows.fetchall()))
-    got = link_quotes(spark.createDataFrame(data, SCHEMA)).select(*names).collect()
+    got = op9_columns(link_quotes(spark.createDataFrame(data, SCHEMA))).select(*names).collect()
     assert sorted(repr(tuple(r)) for r in got) == want
 
 
