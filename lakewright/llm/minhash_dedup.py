@@ -220,7 +220,7 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     near = per_cent / 100
     base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int, all_bands binary")
     base = scratch.keep(base)
-    alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("key").alias("one"))
+    alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one"))
     first = base.select("cls", "bands", "all_bands", "sketch", "samples", F.col("n_shingles").alias("size"), F.col("key").alias("one")).where("cls is not null")
     classes = scratch.keep(alike.join(first, ["cls", "one"]).dropDuplicates(["cls"]))
     members = classes.select(F.explode("bands").alias("band"), "cls")
