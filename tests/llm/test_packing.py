@@ -1,14 +1,14 @@
 import random
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations_with_replacement  # noqa: F401
+from itertools import combinations, combinations_with_replacement  # noqa: F401
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lakewright.llm.packing import WordTokenizer, best_fit, complete, lower_bound, pack
+from lakewright.llm.packing import Budget, WordTokenizer, best_fit, complete, completions, lower_bound, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
@@ -80,6 +80,33 @@ def test_search_improves_on_best_fit():
     assert used(complete(counts, 61), counts, 61) == fewest(items, 61)
 
 
+def test_search_goes_on_beside_a_filling_without_waste():
+    items = [18, 15, 13, 12, 12, 11, 11, 11, 8, 7]
+    counts = np.bincount(items, minlength=41).astype(np.int64)
+    assert used(complete(counts, 40), counts, 40) == fewest(items, 40) == 3
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_completions_are_all_the_undominated_fillings(seed):
+    r = random.Random(seed)
+    room = r.randint(10, 40)
+    left = [0] * (room + 1)
+    for _ in range(r.randint(1, 9)):
+        left[r.randint(1, room)] += 1
+    have = [s for s in range(room + 1) for _ in range(left[s])]
+    subsets = {tuple(sorted(c, reverse=True)) for n in range(len(have) + 1) for c in combinations(have, n) if sum(c) <= room}
+
+    def dominated(c):
+        waste, spare = room - sum(c), Counter(have) - Counter(c)
+        pairs = {a + b for a, b in combinations(c, 2)}
+        return any(t <= waste or any(s < t <= s + waste for s in c) or any(p <= t <= p + waste for p in pairs) for t in spare)
+
+    want = {c for c in subsets if not dominated(c)}
+    got = list(completions(left, room, Budget(1_000_000)))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [sum(c) for c in got] == sorted(map(sum, got), reverse=True)
+
+
 @pytest.mark.parametrize("keep_ids", [False, True])
 def test_pack(spark, keep_ids):
     r = random.Random(2)
