@@ -81,7 +81,8 @@ _LOOKALIKES = dict(
 _INVISIBLE = "­​‌‍⁠﻿"
 _WIDE = {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
 _SWAP = _LOOKALIKES | _WIDE | {"․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " "}
-_STRANGE = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKES, *_INVISIBLE, "․。"])) + "！-～]")
+# All that letters() changes, and what re.I takes for s and i, as in number words.
+_STRANGE = re.compile("[" + "".join(map(re.escape, [*_SWAP, *_INVISIBLE, *"\u017f\u0131\u0130"])) + "]")
 _NUMBERS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT = {w: str(i) for i, w in enumerate(_NUMBERS)} | {"oh": "0"}
 _ONE = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -148,7 +149,7 @@ def suspicious(text: str) -> bool:
     low = text.lower()
     if " dot " in low and _WORDY.search(text):
         return True
-    return sum(w in low for w in _NUMBERS) > 0 and _SPELLED.search(text) is not None
+    return any(w in low for w in _DIGIT) and _SPELLED.search(text) is not None
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from lakewright.llm import pii
 from lakewright.llm.pii import find, find_pii, luhn, mask_pii, plain
 from lakewright.llm.queries import op6_columns
 
@@ -63,6 +64,29 @@ def test_clean_texts_stay_clean(text):
     assert find(text) == []
 
 
+@pytest.mark.parametrize("sign", "\u2010\u2011\u2012\u2013\u00a0\u202f")
+def test_dashes_and_spaces_alone_are_disguises(sign):
+    for kind, parts in (("card", ["4111", "1111", "1111", "1111"]), ("phone", ["+33", "6", "12", "34", "56", "78"]), ("email", ["jane@example", "site.com"])):
+        source = sign.join(parts)
+        if kind != "email" or sign in "\u2010\u2011\u2012\u2013":
+            assert (kind, source) in [(k, f"x {source} y"[a:b]) for k, a, b, d in find(f"x {source} y")]
+            assert pii.masked(f"x {source}", find(f"x {source}")) == f"x [{kind.upper()}]"
+
+
+def test_the_gate_changes_no_spans(monkeypatch):
+    r = random.Random(9)
+    bits = [*pii._SWAP, *pii._INVISIBLE, *"\u017f\u0131\u0130é ", "4111", "+33", " ", "-", "6 12 34 56 78", "jane", "@", "x.com", "10.", "0.0.1", " at ", " dot ", " [at] ", "(dot)"]
+    texts = [g + t + s + u for s in (*pii._SWAP, *pii._INVISIBLE) for g in ("", "+") for t in ("4111 1111", "jane@x", "10.0") for u in (" 1111 1111", "y.com", ".0.1")]
+    texts += ["4111" + s + "1111" + s + "1111" + s + "1111" for s in (*pii._SWAP, *pii._INVISIBLE)]
+    texts += ["oh " * 16, "plus" + " oh" * 9, "+1 555 \u017fix \u017fix \u017fix \u017fix 1234567"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(3000)]
+    texts += [" ".join(r.choice([*pii._DIGIT, "plus", "dot"]) for _ in range(r.randint(4, 18))) for _ in range(500)]
+    gated = [find(t) for t in texts]
+    monkeypatch.setattr(pii, "suspicious", lambda text: True)
+    for t, spans in zip(texts, gated, strict=True):
+        assert find(t) == spans, t
+
+
 def test_operator_and_digests(spark):
     rows = [(1, f"a@b.co {GOOD} +1 555 123 4567, 10.0.0.1 x [at] y [dot] zz", "k"), (2, None, "k"), (3, "", "k"), (None, "é a@b.co", "k"), (1, "é" * 30000 + "a@b.co", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, pii string")
