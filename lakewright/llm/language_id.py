@@ -3,7 +3,7 @@
 Each language has a smoothed distribution of hashed byte n-grams. A word's likelihood in a language is that of its
 n-grams, marks at its ends included. A text is a mixture of languages with one proportion each; expectation-maximisation
 estimates them for growing sets of languages, and the set with the best likelihood less a price for each
-language is chosen.
+language is chosen. Sets grow in the order of the languages' shares in a mixture of all; other sets are not tried.
 """
 
 from __future__ import annotations
@@ -75,7 +75,6 @@ class LanguageModel:
     languages: list[str]
     logs: np.ndarray  # row of the table, language
     price: float = 3.0  # of each language beyond the first, times the logarithm of the number of words
-    most: int = 4
     rounds: int = 8
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple[str, float]]]]:
@@ -104,13 +103,20 @@ class LanguageModel:
         share, _ = mixtures(like, first, np.ones((len(full), k)), self.rounds)
         order = np.argsort(-share, axis=1, kind="stable")
         best, worth = np.zeros((len(full), k)), np.full(len(full), -np.inf)
-        for size in range(1, min(self.most, k) + 1):
-            allowed = np.zeros((len(full), k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            got, log = mixtures(like, first, allowed, self.rounds if size > 1 else 1)
-            value = log - self.price * (size - 1) * np.log(counts[full] + 1)
-            better = value > worth
-            best[better], worth[better] = got[better], value[better]
+        number, price = counts[full], self.price * np.log(counts[full] + 1)
+        # No mixture says more than each word's best language, so a text is done when no larger set can be worth more.
+        most = np.add.reduceat(like.max(axis=1), first[:-1])
+        for size in range(1, k + 1):
+            open_ = np.flatnonzero(most - price * (size - 1) > worth)
+            if not len(open_):
+                break
+            allowed = np.zeros((len(open_), k))
+            np.put_along_axis(allowed, order[open_, :size], 1.0, axis=1)
+            words = np.repeat(np.isin(np.arange(len(full)), open_), number)
+            got, log = mixtures(like[words], np.append(0, np.cumsum(number[open_])), allowed, self.rounds if size > 1 else 1)
+            value = log - price[open_] * (size - 1)
+            better = value > worth[open_]
+            best[open_[better]], worth[open_[better]] = got[better], value[better]
         chosen = best.argmax(axis=1)
         for r, d in enumerate(full.tolist()):
             names[d] = self.languages[chosen[r]]

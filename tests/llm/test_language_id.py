@@ -45,6 +45,19 @@ def test_mixed_texts_get_their_languages(docs):
     assert abs(sum(s for _, s in found) - 1) < 1e-6
 
 
+def test_a_text_of_six_languages_gets_them_all(spark):
+    r = random.Random(6)
+    letters = {f"l{i}": "abcdefghijklmnopqrstuvwx"[4 * i : 4 * i + 4] for i in range(6)}
+    say = lambda lang, n: ["".join(r.choice(letters[lang]) for _ in range(r.randint(3, 7))) for _ in range(n)]
+    rows = [(i, " ".join(say(lang, 60)), lang) for i, lang in enumerate([*letters] * 10)]
+    model = train_language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = [w for lang in letters for w in say(lang, 50 if lang == "l2" else 40)]
+    r.shuffle(words)
+    names, scores, found = model.predict(pa.array([" ".join(words), " ".join(say("l4", 50))]))
+    assert {x for x, _ in found[0]} == set(letters) and names == ["l2", "l4"]
+    assert abs(scores[0] - 50 / 250) < 0.04 and scores[1] > 0.9 and len(found[1]) == 1
+
+
 def test_em_does_not_lower_the_likelihood():
     r = np.random.default_rng(2)
     like, first = r.normal(0, 3, (60, 3)), np.array([0, 20, 21, 60])
