@@ -195,14 +195,15 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
 def one_of_each_group(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near copies (see minhash_dedup).
 
-    Rows without words are groups of their own. A group's row is one with its least doc_id. Rows equal in doc_id and text
-    count as one row.
+    Rows without words are groups of their own, and all kept. A group's row is one with its least doc_id. Other rows equal
+    in doc_id and text count as one row.
     """
     found = minhash_dedup(docs, words_per_shingle, per_cent)
-    marks = found.where("head is null or key = head").select(F.col("key").alias("_lakewright_key")).distinct()
+    marks = found.where("key = head").select(F.col("key").alias("_lakewright_key")).distinct()
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    named = docs.withColumn("_lakewright_key", F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())).dropDuplicates(["_lakewright_key"])
-    return named.join(marks, "_lakewright_key", "left_semi").drop("_lakewright_key")
+    words = F.coalesce(text.rlike(r"[^ \t-\r]"), F.lit(False))
+    named = docs.where(words).withColumn("_lakewright_key", F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())).dropDuplicates(["_lakewright_key"])
+    return named.join(marks, "_lakewright_key", "left_semi").drop("_lakewright_key").union(docs.where(~words))
 
 
 def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:

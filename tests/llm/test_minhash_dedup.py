@@ -8,7 +8,7 @@ import pytest
 
 from lakewright.llm.common import Scratch
 from lakewright.llm.graph import components
-from lakewright.llm.minhash_dedup import estimated, margin, may_link, minhash_dedup, odd_sketch, shingle_sets
+from lakewright.llm.minhash_dedup import estimated, margin, may_link, minhash_dedup, odd_sketch, one_of_each_group, shingle_sets
 
 SCHEMA = "doc_id long, text string"
 
@@ -131,3 +131,9 @@ def test_shingle_sets_follow_the_definition():
     texts = [None, "", "a b c", "A b\tc d", "a b c d e d c b a b c d", "é b c d"]
     got = [len(s) for s in shingle_sets(pa.array(texts), 4)]
     assert got == [len(shingles(t, 4)) for t in texts]
+
+
+def test_all_rows_without_words_are_kept(spark):
+    rows = [(None, None, "a"), (None, None, "b"), (None, " \t", "c"), (None, " \t", "d"), (4, "", "e"), (4, "", "f"), (5, "\x0b\x0c\r\n", "g"), (5, "one two", "h"), (5, "one two", "h"), (6, "one  two", "i"), (7, "\u00a0", "j")]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(r.source for r in got) == list("abcdefghj")
