@@ -66,20 +66,25 @@ class Items:
     at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     table: np.ndarray = field(default_factory=lambda: np.zeros(1 << _SLOTS, bool))
+    short: dict[int, dict[bytes, list[int]]] = field(default_factory=dict)  # items found by whole words, by bytes and text
 
     @classmethod
-    def build(cls, rows: list[tuple], error_rate: float, shortest: int) -> Items:
+    def build(cls, rows: list[tuple], error_rate: float, shortest: int, short_items: bool = False) -> Items:
         ids, texts, budgets, pieces = [], [], [], []
+        short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in rows:
             raw = (text or "").encode()
             norm = normalised(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes().strip(bytes([_MARK]))
             if len(norm) < shortest:
+                if norm and short_items:
+                    short.setdefault(len(norm), {}).setdefault(norm, []).append(len(ids))
+                    ids.append(item_id), texts.append(norm), budgets.append(0)
                 continue
             k = int(len(norm) * error_rate)
             edges = [len(norm) * i // (k + 1) for i in range(k + 2)]
             pieces += [(len(ids), a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
             ids.append(item_id), texts.append(norm), budgets.append(k)
-        out = cls(ids, texts, budgets)
+        out = cls(ids, texts, budgets, short=short)
         if pieces:
             out.owner, out.at, out.size = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
             out.gram = int(out.size.min())
@@ -91,7 +96,7 @@ class Items:
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in data, and the pieces that stand there whole and within one text."""
-        h = gram_hashes(data, self.gram) if self.ids else np.zeros(0, np.uint64)
+        h = gram_hashes(data, self.gram) if self.gram else np.zeros(0, np.uint64)
         place = np.flatnonzero(self.table[h >> np.uint64(64 - _SLOTS)])
         lo, hi = np.searchsorted(self.hashes, h[place], side="left"), np.searchsorted(self.hashes, h[place], side="right")
         n = hi - lo
@@ -104,18 +109,38 @@ class Items:
         same = np.array(same, bool)
         return place[same], piece[same]
 
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Text, item and place of each short item's first copy between word bounds of a text."""
+        edge = np.append(data == _MARK, True)
+        edge[offsets] = True  # of the text's last byte, too, as an end
+        starts = np.flatnonzero(edge[:-1])
+        starts = np.unique(np.concatenate([starts + (data[starts] == _MARK), offsets[:-1]]))
+        starts = starts[starts < len(data)]
+        raw, done = data.tobytes(), set()
+        for size, known in self.short.items():
+            at = starts[starts + size <= len(data)]
+            number = np.searchsorted(offsets, at, side="right") - 1
+            fits = (at + size <= offsets[number + 1]) & edge[at + size]
+            for p, d in zip(at[fits].tolist(), number[fits].tolist(), strict=True):
+                for item in known.get(raw[p : p + size], ()):
+                    if (d, item) not in done:
+                        done.add((d, item))
+                        yield d, item, p
+
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """Row, item, distance, first and last source byte of the best passage for each row and item that match."""
         data, offsets = utf8(texts)
         for i, j in groups(np.diff(offsets), CHUNK):
             norm, at, source = normalised(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             place, piece = self.hits(norm, at)
-            if not len(place):
+            if not len(place) and not self.short:
                 continue
             doc = np.searchsorted(at, place, side="right") - 1
             rows = sorted(set(zip(doc.tolist(), self.owner[piece].tolist(), (place - self.at[piece]).tolist(), strict=True)))
             raw = norm.tobytes()
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            if self.short:
+                best = {(d, item): (0, p, p + len(self.texts[item])) for d, item, p in self.words(norm, at)}
             for d, item, lo, hi in self._windows(rows):
                 k, pattern = self.budgets[item], self.texts[item]
                 lo, hi = max(lo - k, int(at[d])), min(hi + len(pattern) + k, int(at[d + 1]))
@@ -143,27 +168,28 @@ class Items:
             yield last
 
 
-def _batches(benchmark: DataFrame, error_rate: float, shortest: int) -> Iterator[Items]:
+def _batches(benchmark: DataFrame, error_rate: float, shortest: int, short_items: bool = False) -> Iterator[Items]:
     """The items in parts of bounded size; one part unless the table holds more than ITEM_BYTES."""
     rows = typed(benchmark, item_id="long", text="string").where("text is not null").withColumn("k", row_key("item_id", "text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-2 * total // ITEM_BYTES) if total > ITEM_BYTES else 1
     for p in range(parts):
-        yield Items.build([(r.item_id, r.text) for r in rows.where(F.pmod("k", F.lit(parts)) == p).distinct().collect()], error_rate, shortest)
+        yield Items.build([(r.item_id, r.text) for r in rows.where(F.pmod("k", F.lit(parts)) == p).distinct().collect()], error_rate, shortest, short_items)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, shortest: int = 16) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, shortest: int = 16, short_items: bool = False) -> DataFrame:
     """The test items that documents hold: doc_id, item_id, distance, start, end; one row for each document and item.
 
     Takes doc_id and text of docs, item_id and text of benchmark. Both are lower-cased, and whatever lies between words
     counts as one space. A document holds an item if some substring is within floor(error_rate * bytes of the item) byte
     edits; the leftmost of the best is reported, in code points of the source, end exclusive. Items under `shortest`
-    normalised bytes, null ones included, never match; null and empty texts hold nothing. Repeated rows are reported each.
+    normalised bytes match with short_items only, where they stand without error between word bounds. Null items and those
+    without words never match; null and empty texts hold nothing. Repeated rows are reported each.
     """
     sc = docs.sparkSession.sparkContext
     docs = typed(docs, doc_id="long", text="string")
     out = None
-    for items in _batches(benchmark, error_rate, shortest):
+    for items in _batches(benchmark, error_rate, shortest, short_items):
         shared = sc.broadcast(items)
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -184,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.0
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, shortest: int = 16) -> DataFrame:
-    """The rows of docs, all columns, that hold no test item (see contamination)."""
+    """The rows of docs, all columns, that hold no test item (see contamination) but short ones, which chance brings."""
     sc = docs.sparkSession.sparkContext
     for items in _batches(benchmark, error_rate, shortest):
         docs = docs.where(_clean(sc.broadcast(items))("text"))

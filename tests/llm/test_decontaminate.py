@@ -112,3 +112,13 @@ def test_many_items_take_several_passes(spark, monkeypatch):
 
 def test_no_items():
     assert list(Items.build([], 0.1, 4).matches(pa.array(["abc", None]))) == []
+
+
+def test_short_items_match_exactly_at_word_bounds(spark):
+    docs = [(1, "Dog"), (2, "a hot-dog, and a dog"), (3, "dogma bulldog"), (4, "\u00e9 lazy  DOG!"), (5, "lazy"), (6, None), (7, "  dog"), (8, "la"), (8, ""), (9, "zy dog")]
+    items = [(1, "dog"), (1, "dog"), (2, "Lazy dog."), (3, "dog"), (4, " ?! "), (5, None), (6, "the quick brown fox jumps over")]
+    df, bench = spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(items, ITEMS)
+    got = sorted((x.doc_id, x.item_id, x.distance, x.start, x.end) for x in contamination(df, bench, short_items=True).collect())
+    want = [(1, 1, 0, 0, 3), (1, 3, 0, 0, 3), (2, 1, 0, 6, 9), (2, 3, 0, 6, 9), (4, 1, 0, 8, 11), (4, 2, 0, 2, 11), (4, 3, 0, 8, 11), (7, 1, 0, 2, 5), (7, 3, 0, 2, 5), (9, 1, 0, 3, 6), (9, 3, 0, 3, 6)]
+    assert got == want
+    assert contamination(df, bench).count() == 0 and decontaminate(df, bench).count() == len(docs)
