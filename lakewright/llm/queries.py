@@ -87,8 +87,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_columns(linked: DataFrame) -> DataFrame:
-    """parent_turn is -1 where a message has no parent."""
-    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
+    """parent_turn is -1 where a message has no parent, position where it has no conversation."""
+    return linked.withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("parent_turn", "position")})
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,8 @@ roots AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM
 counts AS (SELECT id, count(*) AS n FROM passages GROUP BY id)
 SELECT c.conv_id, c.turn, role, content, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(content, '') AS formatted,
        CAST(coalesce(n, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(parent_turn, -1) AS BIGINT) AS parent_turn,
-       coalesce(thread, c.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth
+       coalesce(thread, c.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+       CASE WHEN c.conv_id IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY c.conv_id ORDER BY coalesce(thread, c.turn) NULLS LAST, c.turn NULLS LAST) - 1 END AS position
 FROM cleaned c LEFT JOIN counts k ON k.id = c.id LEFT JOIN linked l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN roots r ON r.conv_id = c.conv_id AND r.turn = c.turn
 """,
     "op5_url_filter": f"""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lakewright.llm.chat_quotes import link_quotes
@@ -71,13 +73,61 @@ def test_no_row_is_lost(spark, linked):
     assert link_quotes(df.limit(0)).count() == 0
 
 
+def test_positions_follow_replies(linked):
+    got, _ = linked
+    assert [got[1, t].position for t in (0, 2, 3, 1, 4, 5, 6, None)] == list(range(8))
+    assert got[None, 1].position is None and [got[4, t].position for t in (0, 1)] == [0, 1]
+    for (c, _), r in got.items():
+        assert r.parent_turn is None or got[c, r.parent_turn].position < r.position
+
+
+def generated(seed, conversations=120):
+    """Conversations with thousands of quotes, some of several messages, nested, announced, cut or made up."""
+    r = random.Random(seed)
+    say = lambda c, t: " ".join(f"{r.choice(['The plan', 'Café', 'No. 7', 'It'])} of {r.choice('abcde')}{r.randint(0, 40)} is {w}{r.choice('.!?')}" for w in (f"c{c}t{t}", "fine", r.choice(["old", "new"])))
+    announce = ["On Monday, Ann wrote:", "Am Montag schrieb Bo: ", "Le 3 mai, Cy a écrit :", "El lunes Di escribió:", "Ed said:", "  wrote:", " wrote:", "On wrote:", "They spoke:", "x" * 90 + " wrote:"]
+    data = []
+    for c in range(conversations):
+        said = []
+        for t in range(r.randint(1, 40 if c else 400)):
+            body = say(c, t)
+            lines = []
+            for q in r.sample(said, min(len(said), r.randint(0, 3))):
+                mark = r.choice(["> ", ">", ">> ", "> > ", "  > ", "\t>"])
+                if r.random() < 0.5:
+                    lines.append(r.choice(announce))
+                lines += [mark + x for x in q.replace(". ", ".\n" if r.random() < 0.3 else ". ").split("\n")]
+                lines.append(r.choice(["", "", "I see.", "\n\n", "  "]))
+            lines.append(body)
+            said.append(body)
+            data.append((c, t, r.choice(["user", "assistant", None]), r.choice(["\n", "\n", "\r\n"]).join(lines)))
+    return data
+
+
+def test_a_generated_corpus_equals_sql(spark):
+    data = generated(5)
+    got = against_sql(spark, data)
+    assert sum(r.n_quotes for r in got) > 3000 and sum(r.n_linked for r in got) > 2000 and max(r.depth for r in got) > 5
+
+
+def test_long_lines_and_runs_do_not_overflow(spark):
+    n = 100_000
+    texts = [">" * n + "x", "> " * n, " \t>" + ">\t" * n, "> a\n" + "b" + " " * (10 * n) + "c", "> a\n" + " " * (10 * n), "am x schrieb" + " schrieb" * n + " " * n + "x\n> a", "on " + "x wrote " * n + "\n> a", " " * n + ":" + " " * n + ":\n> a", "> a\nb" + "\n" * n + "c", "> a\nb\n" * (n // 10)]
+    got = rows(spark, [(1, i, "user", t) for i, t in enumerate(texts)])
+    assert [got[1, i].n_quotes for i in range(len(texts))] == [1] * 9 + [n // 10]
+    assert got[1, 3].content == "b" + " " * (10 * n) + "c" and got[1, 4].content == "" and got[1, 8].content == "b\n\nc"
+
+
 def test_against_sql(spark, linked):
+    against_sql(spark, linked[1])
+
+
+def against_sql(spark, data):
     import duckdb
     import pandas as pd
 
     from lakewright.llm.queries import ORACLE_SQL, op9_columns
 
-    _, data = linked
     con = duckdb.connect()
     frame = pd.DataFrame(data, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
     con.register("conversations", frame)
@@ -86,6 +136,7 @@ def test_against_sql(spark, linked):
     want = sorted(map(repr, rows.fetchall()))
     got = op9_columns(link_quotes(spark.createDataFrame(data, SCHEMA))).select(*names).collect()
     assert sorted(repr(tuple(r)) for r in got) == want
+    return got
 
 
 def test_long_chains_and_long_texts(spark):
