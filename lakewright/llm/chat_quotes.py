@@ -72,16 +72,17 @@ def sentences(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(plain, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def _positions(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, turn and position: each message's place in its conversation by thread, then turn, nulls last.
-
-    A sort over all tasks, for one conversation may hold many messages: a place is that within a task's part of the
-    conversation, after what earlier tasks hold of it.
-    """
+def _sorted_messages(messages: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct messages sorted over all tasks by conv_id, thread and turn, nulls last; `at` rises in that order."""
     order = [F.col("conv_id"), F.col("thread").asc_nulls_last(), F.col("turn").asc_nulls_last()]
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = messages.where("conv_id is not null").select("conv_id", "thread", "turn").distinct()
-    nodes = scratch.keep(nodes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    return scratch.keep(nodes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+
+
+def _positions(nodes: DataFrame) -> DataFrame:
+    """conv_id, turn and position. One conversation may span many tasks of the sort: a place is that within a task's part
+    of the conversation, after what earlier tasks hold of it."""
     nodes = nodes.withColumn("part", F.shiftright("at", 33))
     held = nodes.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +135,9 @@ def link_quotes(messages: DataFrame, rounds: int = 64) -> DataFrame:
         else:
             raise ValueError("a chain of replies is too long")
     linked = scratch.keep(rows.join(found, node, "left").join(steps, node, "left").withColumn("thread", F.coalesce("thread", "turn")))
-    places = _positions(linked, scratch).toDF("_conv", "_turn", "position")
+    nodes = _sorted_messages(linked, scratch)
+    scratch.drop_others(linked, nodes)
+    places = _positions(nodes).toDF("_conv", "_turn", "position")
     out = linked.join(places, (F.col("conv_id") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")), "left")
     tag = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("content", F.lit("")))
     return out.select(*node, "role", "content", tag.alias("formatted"), F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", "thread", F.coalesce("depth", F.lit(0)).alias("depth"), "position")

@@ -18,10 +18,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one in local mode (tests)."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="lakewright-")
         atexit.register(__import__("shutil").rmtree, _own_dir[7:], ignore_errors=True)
@@ -37,12 +39,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder to cut lineage; readers survive the loss of executors.
 
-    drop() removes a table that nothing reads any more. Tables that a returned DataFrame still reads are removed
-    when the session's JVM or the driver's Python ends.
+    drop() removes a table that nothing reads any more, drop_others() all but those that a returned DataFrame still reads;
+    these are removed when the session's JVM or the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.paths: set[str] = set()
         ship(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -53,12 +56,20 @@ class Scratch:
         p.getFileSystem(conf).deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
+            self.paths.discard(t._scratch_path)
             _delete(self.spark, t._scratch_path)
 
+    def drop_others(self, *tables: DataFrame) -> None:
+        """Removes all tables of this Scratch but these, which it also forgets."""
+        for path in self.paths - {t._scratch_path for t in tables}:
+            _delete(self.spark, path)
+        self.paths.clear()
+
 
 def typed(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; columns of other names, whatever they are, do not disturb an operator."""
@@ -71,6 +82,11 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
+def row_digest(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text; nulls count."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), text), F.lit("null")))))
+
+
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes and its n + 1 offsets; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

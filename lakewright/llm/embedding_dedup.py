@@ -195,6 +195,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98, tables: int = TABL
     roots = components(found.where("b is not null").select("a", "b"), scratch)
     ids = classes.join(roots, F.col("cls") == F.col("vertex"), "left").select("cls", "n", "least_id", F.coalesce("root", "cls").alias("root"))
     ids = scratch.keep(ids.join(links, "cls", "left"))
+    scratch.drop_others(rows, ids)
     heads = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     ids = ids.join(heads, "root").select("cls", "component_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.select("vec_id", "cls").join(ids, "cls", "left")

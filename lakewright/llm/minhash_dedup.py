@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_key, span_hashes, typed, utf8, words
+from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_digest, span_hashes, typed, utf8, words
 from .graph import components
 
 ROWS, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 3e-6
@@ -159,11 +159,11 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> It
 
 
 def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components within a block of a bucket: its members against the bucket's minority."""
+    """Likely pairs of different components within a block of a bucket: its members, which come first and are held,
+    against the bucket's minority, which passes by in parts."""
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        members, minority = [r for r in rows if not r[6]], [r for r in rows if r[6]]
-        a, b = [], []
+    def out(members: list[tuple], minority: list[tuple]) -> pa.RecordBatch:
+        rows, a, b = members + minority, [], []
         if members and minority:
             sketches = np.frombuffer(b"".join(r[3] for r in members), np.uint64).reshape(len(members), -1)
             number = {c: k for k, c in enumerate({r[2] for r in rows})}
@@ -180,30 +180,33 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
                     b.append(min(r[1], members[k][1]))
         return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    held, key = [], None
+    members, minority, key = [], [], None
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "size", "samples", "lone", "all_bands")], strict=True):
-            if row[:2] != key:
-                if held:
-                    yield out(held)
-                held, key = [], row[:2]
-            held.append((key, *row[2:]))
-    if held:
-        yield out(held)
+            if row[:2] != key or len(minority) >= BLOCK:
+                yield out(members, minority)
+                minority = []
+                if row[:2] != key:
+                    members, key = [], row[:2]
+            (minority if row[7] else members).append((key, *row[2:]))
+    yield out(members, minority)
 
 
 def one_of_each_group(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of docs, all columns, that stand for their group of near copies (see minhash_dedup).
 
-    Rows without words are groups of their own, and all kept. A group's row is one with its least doc_id. Other rows equal
-    in doc_id and text count as one row.
+    Rows without words are groups of their own, and all kept. A group's row is one with its least doc_id. Of rows equal in
+    doc_id and text that with the least hash of all its columns (but maps) is taken.
     """
     found = minhash_dedup(docs, words_per_shingle, per_cent)
     marks = found.where("key = head").select(F.col("key").alias("_lakewright_key")).distinct()
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     words = F.coalesce(text.rlike(r"[^ \t-\r]"), F.lit(False))
-    named = docs.where(words).withColumn("_lakewright_key", F.xxhash64(doc_id, doc_id.isNull(), text, text.isNull())).dropDuplicates(["_lakewright_key"])
-    return named.join(marks, "_lakewright_key", "left_semi").drop("_lakewright_key").union(docs.where(~words))
+    named = docs.where(words).withColumn("_lakewright_key", row_digest(doc_id, text)).join(marks, "_lakewright_key", "left_semi")
+    columns = [named[f"`{c}`"] for c in docs.columns]
+    order = F.xxhash64(*[c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()])
+    heads = named.groupBy("_lakewright_key").agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return heads.select("row.*").union(docs.where(~words))
 
 
 def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 80) -> DataFrame:
@@ -217,9 +220,9 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = typed(docs, doc_id="long", text="string").withColumn("key", row_key("doc_id", "text"))
+    docs = typed(docs, doc_id="long", text="string").withColumn("key", row_digest(F.col("doc_id"), F.col("text")))
     near = per_cent / 100
-    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key long, n_shingles long, cls binary, bands array<long>, sketch binary, samples int, all_bands binary")
+    base = docs.mapInArrow(lambda b: _signed(b, words_per_shingle), "doc_id long, key binary, n_shingles long, cls binary, bands array<long>, sketch binary, samples int, all_bands binary")
     base = scratch.keep(base)
     alike = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("one"))
     first = base.select("cls", "bands", "all_bands", "sketch", "samples", F.col("n_shingles").alias("size"), F.col("key").alias("one")).where("cls is not null")
@@ -257,7 +260,7 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     minority = left.where("root <> major").select(*common, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lone"))
     rest = left.select(*common, block.alias("block"), F.lit(False).alias("lone")).union(minority)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block").mapInArrow(lambda x: _across(x, near), "a binary, b binary").distinct()
+    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block", "lone").mapInArrow(lambda x: _across(x, near), "a binary, b binary").distinct()
     rest = scratch.keep(rest.join(likely, ["a", "b"], "left_anti"))
     if rest.take(1):
         more = scratch.keep(linked(rest))
@@ -266,6 +269,7 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
 
     ids = classes.join(roots, F.col("cls") == F.col("vertex"), "left").select("cls", "least_id", "one", F.coalesce("root", "cls").alias("root"))
     ids = scratch.keep(ids)
+    scratch.drop_others(base, ids)
     heads = ids.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min_by("one", F.struct(F.col("least_id").isNull(), "least_id", "one")).alias("head"))
     ids = ids.join(heads, "root").select("cls", "component_id", "head")
     found = base.select("doc_id", "key", "n_shingles", "cls").join(ids, "cls", "left")

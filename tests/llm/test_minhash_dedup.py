@@ -137,3 +137,30 @@ def test_all_rows_without_words_are_kept(spark):
     rows = [(None, None, "a"), (None, None, "b"), (None, " \t", "c"), (None, " \t", "d"), (4, "", "e"), (4, "", "f"), (5, "\x0b\x0c\r\n", "g"), (5, "one two", "h"), (5, "one two", "h"), (6, "one  two", "i"), (7, "\u00a0", "j")]
     got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(r.source for r in got) == list("abcdefghj")
+
+
+def test_of_equal_rows_one_is_chosen_by_its_other_columns(spark):
+    text = "one two three four five six"
+    rows = [(1, text, s, {"a": 1}) for s in ("x", "y", "z")] + [(2, text, "w", None), (None, "seven eight nine", "v", None)]
+    kept = set()
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string, `a.b` string, m map<string,int>").repartition(parts)
+        got = one_of_each_group(df).collect()
+        assert len(got) == 2 and {r.doc_id for r in got} == {1, None}
+        kept |= {(r.doc_id, r["a.b"]) for r in got}
+    assert len(kept) == 2
+
+
+def test_blocks_and_parts_of_a_bucket_lose_no_link(spark, monkeypatch):
+    from lakewright.llm import minhash_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 3)
+    r = random.Random(11)
+    core = [f"w{i}" for i in range(70)]
+    data = []
+    for i in range(60):
+        own = [f"x{i % 25}_{k}" for k in range(30)]
+        w = core + own
+        w[r.randrange(100)] = f"y{i}"
+        data.append((i, " ".join(w)))
+    assert rows(spark, data, 4) == brute(data, 4)
