@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakewright.llm.decontaminate import Items, contamination, decontaminate, distance
+from lakewright.llm.decontaminate import Items, _common_grams, contamination, cut, decontaminate, distance
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -110,6 +111,55 @@ def test_many_items_take_several_passes(spark, monkeypatch):
     assert {(i, i) for i, _ in items} <= got
 
 
+@pytest.mark.parametrize("seed,own", [(1, 3), (2, 8), (3, 14)])
+def test_items_of_one_template_against_brute_force(seed, own):
+    r = random.Random(seed)
+    template = "choose the best answer and say why "
+    items = [(i, template + words(r, own)) for i in range(24)] + [(24, words(r, 2) + "abcdefgh"), (25, words(r, 60))]
+    texts = []
+    for _ in range(14):
+        leak = edited(r, r.choice(items)[1], r.choice([0, 1, 2, 4, 6]))
+        texts.append(words(r, 4) + " " + r.choice([leak, template + words(r, 5), leak + " " + leak]) + " " + words(r, 3))
+    built = Items.build(items, 0.06, 16)
+    got = {(d, i): e for d, i, e, *_ in built.matches(pa.array(texts))}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, p in items:
+            q = b" ".join(norm(p).split())
+            e = table(q, b" ".join(norm(t).split()))
+            if len(q) >= 16 and e <= int(len(q) * 0.06):
+                want[d, i] = e
+    assert got == want and want
+
+
+def test_pieces_are_even_or_hold_what_is_rare():
+    r = random.Random(5)
+    template = "choose the best answer and say why "
+    texts = [norm(template + words(r, 12)).strip() for _ in range(30)]
+    common = _common_grams(texts)
+    for t in texts:
+        got = cut(t, 5, common)
+        assert len(got) == 5 and all(a + n <= b for (a, n), (b, _) in zip(got, got[1:], strict=False)) and got[-1][0] + got[-1][1] <= len(t)
+        assert all(n >= 8 and t[a : a + n] not in template.encode() for a, n in got)
+        assert cut(t, 5, np.zeros(0, np.uint64)) == [(len(t) * i // 5, len(t) * (i + 1) // 5 - len(t) * i // 5) for i in range(5)]
+    assert len(cut(texts[0], 1, common)) == 1 and sum(n for _, n in cut(template.encode().strip(), 4, common)) == len(template) - 1
+
+
+def test_templates_do_not_bring_every_document_to_every_item():
+    r = random.Random(6)
+    template = "question: choose the best answer to the question below and explain why. "
+    items = Items.build([(i, template + words(r, 8)) for i in range(800)], 0.06, 16)
+    texts = pa.array([words(r, 80) + " " + template + words(r, 60) for _ in range(40)])
+    started = time.process_time()
+    assert list(items.matches(texts)) == [] and time.process_time() - started < 3
+
+
+def test_a_short_item_leaves_the_pieces_of_others_long():
+    r = random.Random(7)
+    items = Items.build([(0, "abcdefghijklmnopq")] + [(i, words(r, 30)) for i in range(1, 9)], 0.06, 16)
+    assert len(items.indexes) == 2 and max(x.gram for x in items.indexes) > 14 and min(x.gram for x in items.indexes) == 8
+
+
 def test_no_items():
     assert list(Items.build([], 0.1, 4).matches(pa.array(["abc", None]))) == []
 
