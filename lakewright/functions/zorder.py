@@ -14,7 +14,6 @@ from . import schema as S
 
 EXACT = 4096  # distinct values up to which ranks are exact; beyond that, as many quantiles are told apart
 BITS = 32
-SMALL = 100_000  # rows that are numbered one by one
 
 
 def _orderable(c: Column, kind: T.DataType) -> Column:
@@ -85,20 +84,14 @@ def z_key(df: DataFrame, columns: Sequence[str]) -> Column:
                     held = a.filter(pa.array(valid))
                     r[valid] = scaled(np.array(held.to_pylist()) if e.dtype.kind == "U" else held.to_numpy(zero_copy_only=False), e)
                 ranks.append(r)
-            packed = interleaved(ranks) if len(arrays[0]) else np.zeros((0, 1), np.uint8)
-            yield pa.array([row.tobytes() for row in packed], pa.binary())
+            packed = interleaved(ranks)
+            kind = pa.binary(packed.shape[1])
+            yield pa.Array.from_buffers(kind, len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
 
     return F.arrow_udf(keys, "binary")(*[_orderable(S.name(c), df.schema[c].dataType) for c in columns])
 
 
-def z_sorted(df: DataFrame, columns: Sequence[str], parts: int, rows: int) -> DataFrame:
-    """df in `parts` partitions along the Z curve. Range boundaries come from a sample unless there are few rows."""
+def z_sorted(df: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:
+    """df in `parts` partitions along the Z curve, whose boundaries come from a sample."""
     z = "_lakewright_z"
-    keyed = df.withColumn(z, z_key(df, columns))
-    if rows <= SMALL:
-        from pyspark.sql import Window
-
-        at = F.row_number().over(Window.orderBy(z)) - 1
-        keyed = keyed.withColumn("_lakewright_part", (at / F.lit(max(1, -(-rows // parts)))).cast("int"))
-        return keyed.repartitionByRange(parts, "_lakewright_part").sortWithinPartitions("_lakewright_part", z).drop(z, "_lakewright_part")
-    return keyed.repartitionByRange(parts, z).sortWithinPartitions(z).drop(z)
+    return df.withColumn(z, z_key(df, columns)).repartitionByRange(parts, z).sortWithinPartitions(z).drop(z)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import TYPE_CHECKING
@@ -55,7 +57,8 @@ def delete(table: VersionedTable, predicate: Column | str, where: pruning.Ranges
         schema = scan.schema_of(base)
         left = scan.read_files(table.spark, table.storage, base, files).where(~doomed)
         staged = writer.stage(table.spark, table.storage, left, schema, base.metadata.partition_columns)
-        txn = OptimisticTransaction(table.log, base).read_paths(f.path for f in candidates)
+        # Rows that others add meanwhile stay, as if they came after the delete.
+        txn = OptimisticTransaction(table.log, base).read_paths(f.path for f in candidates).fail_on_metadata_changes()
         info = table.info(table.version, "DELETE", {"files": len(files)}, user_metadata)
         version = txn.commit([info, *_removes(table, base.version, files), *staged])
         if version is not None:
@@ -103,8 +106,6 @@ def upsert(table: VersionedTable, source: DataFrame, key: str, user_metadata: st
 
 def _checked_source(source: DataFrame, key: str) -> int:
     """Rows of the source, whose keys must be unique and not null."""
-    if key not in source.columns:
-        raise SchemaError(f"the source has no column {key}")
     k = S.name(key)
     counts = source.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.max(F.col("k").isNull()).alias("null")).first()
     if counts.null:
@@ -167,6 +168,27 @@ def _chosen(clauses: tuple[_Clause, ...], source: T.StructType, schema: T.Struct
 def merge(table: VersionedTable, source: DataFrame, key: str, spec: MergeSpec, user_metadata: str | None) -> int:
     if not spec.matched and not spec.unmatched:
         raise ValueError("a merge needs a clause")
+    if key not in source.columns:
+        raise SchemaError(f"the source has no column {key}")
+    with _written(table, source) as source:
+        return _merged(table, source, key, spec, user_metadata)
+
+
+@contextmanager
+def _written(table: VersionedTable, df: DataFrame) -> Iterator[DataFrame]:
+    """df, worked out once: written beside the table's data for as long as the block runs."""
+    folder = f"_work/{uuid.uuid4().hex}"
+    empty = [f.name for f in df.schema if isinstance(f.dataType, T.NullType)]  # which files cannot hold
+    held = df.drop(*empty).withColumn("_lakewright_row", F.lit(True)) if empty else df
+    try:
+        held.write.parquet(table.storage.uri(folder))
+        back = table.spark.read.schema(held.schema).parquet(table.storage.uri(folder))
+        yield back.select(*[F.lit(None).alias(c) if c in empty else S.name(c) for c in df.columns])
+    finally:
+        table.storage.delete(folder)
+
+
+def _merged(table: VersionedTable, source: DataFrame, key: str, spec: MergeSpec, user_metadata: str | None) -> int:
     count = _checked_source(source, key)
     if not table.exists():
         return _insert_all(table, source, spec, user_metadata)
@@ -183,7 +205,7 @@ def merge(table: VersionedTable, source: DataFrame, key: str, spec: MergeSpec, u
         if not staged and not files:
             return base.version
         txn = OptimisticTransaction(table.log, base).read_paths(f.path for f in candidates)
-        txn.fail_if_new_file_matches(lambda f: match(f, layouts.get(f.schema_key, schema)))  # noqa: B023 used before the next turn
+        txn.fail_on_metadata_changes().fail_if_new_file_matches(lambda f: match(f, layouts.get(f.schema_key, schema)))  # noqa: B023 used before the next turn
         numbers = {"matched clauses": len(spec.matched), "not matched clauses": len(spec.unmatched), "files": len(files)}
         info = table.info(table.version, "MERGE", numbers, user_metadata)
         version = txn.commit([info, *_removes(table, base.version, files), *staged])
@@ -230,25 +252,24 @@ def _rewritten(table: VersionedTable, base, schema: T.StructType, candidates: li
     kind = schema[key].dataType
     s = source.withColumn("_source_key", S.name(key).cast(kind)).alias("s")
     same = F.col(f"t.`{key}`") == F.col("s._source_key")
-    files: list[AddFile] = []
-    if spec.matched and candidates:
-        t = scan.read_files(spark, storage, base, candidates, with_path=True).alias("t")
-        code = F.when(F.col("s._source_key").isNotNull(), _code(spec.matched))
-        hit = {storage.key_of(p) for p in _touched(t.join(s, same, "inner"), code.isNotNull())}
+    t = scan.read_files(spark, storage, base, candidates, with_path=True).alias("t")
+    code = F.when(F.col("s._source_key").isNotNull(), _code(spec.matched))
+    # One narrow join tells which files hold a row to change, and which source rows are not new.
+    met = t.join(s, same, "inner").select(scan.FILE, F.col("s._source_key").alias("_met"), code.isNotNull().alias("_hit"))
+    with _written(table, met) as met:
+        hit = {storage.key_of(p) for p in _touched(met, F.col("_hit"))} if spec.matched and candidates else set()
         files = [f for f in candidates if f.path in hit]
-    parts = []
-    if files:
-        t = scan.read_files(spark, storage, base, files).alias("t")
-        code = F.when(F.col("s._source_key").isNotNull(), _code(spec.matched))
-        both = t.join(s, same, "left").withColumn("_code", code)
-        gone = [i for i, c in enumerate(spec.matched) if c.action == "delete"]
-        if gone:
-            both = both.where(F.coalesce(~F.col("_code").isin(gone), F.lit(True)))
-        parts.append(both.select(*_chosen(spec.matched, source.schema, schema, F.col("_code"), kept=True)))
-    if spec.unmatched:
-        t = scan.read_files(spark, storage, base, candidates).select(S.name(key)).alias("t")
-        new = s.join(t, same, "left_anti").alias("s").withColumn("_code", _code(spec.unmatched)).where("_code is not null")
-        parts.append(new.select(*_chosen(spec.unmatched, source.schema, schema, F.col("_code"), kept=False)))
-    if not parts:
-        return [], []
-    return writer.stage(spark, storage, reduce(DataFrame.unionAll, parts), schema, base.metadata.partition_columns), files
+        parts = []
+        if files:
+            t = scan.read_files(spark, storage, base, files).alias("t")
+            both = t.join(s, same, "left").withColumn("_code", code)
+            gone = [i for i, c in enumerate(spec.matched) if c.action == "delete"]
+            if gone:
+                both = both.where(F.coalesce(~F.col("_code").isin(gone), F.lit(True)))
+            parts.append(both.select(*_chosen(spec.matched, source.schema, schema, F.col("_code"), kept=True)))
+        if spec.unmatched:
+            new = s.join(met, F.col("s._source_key") == F.col("_met"), "left_anti").alias("s").withColumn("_code", _code(spec.unmatched)).where("_code is not null")
+            parts.append(new.select(*_chosen(spec.unmatched, source.schema, schema, F.col("_code"), kept=False)))
+        if not parts:
+            return [], []
+        return writer.stage(spark, storage, reduce(DataFrame.unionAll, parts), schema, base.metadata.partition_columns), files

@@ -27,9 +27,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir; in a temporary folder where that is unset (tests)."""
+    """A new path in spark.checkpoint.dir; in a temporary folder where that is unset in local mode (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="lakewright-tables-"))
             atexit.register(shutil.rmtree, _own[0][7:], ignore_errors=True)

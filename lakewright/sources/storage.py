@@ -1,8 +1,9 @@
 """Files of a table: Hadoop file systems, with plain file calls for local paths.
 
 `put_if_absent` is the only operation that must be atomic. Locally a finished temporary file is hard-linked to its name,
-so that a reader never sees part of it. Elsewhere Hadoop's create without overwrite is used, whose guarantees are
-the store's own.
+so that a reader never sees part of it. Elsewhere Hadoop's create without overwrite is used where a file system is known to
+decide it by itself, and a conditional write where it can be asked for one. Other file systems are refused for commits
+unless spark.lakewright.atomicCreate names their schemes, separated by commas.
 """
 
 from __future__ import annotations
@@ -15,6 +16,14 @@ from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
+from ..errors import TableError
+
+# Schemes whose create without overwrite is atomic, and those that can be asked for a conditional write (fixed values).
+ATOMIC = frozenset({"file", "hdfs", "viewfs", "webhdfs", "swebhdfs", "abfs", "abfss", "gs"})
+CONDITIONAL = frozenset({"s3a"})
+_CONDITION = "fs.option.create.conditional.overwrite"
+VOUCHED = "spark.lakewright.atomicCreate"
+
 
 @dataclass(frozen=True)
 class FileStatus:
@@ -35,6 +44,13 @@ class Storage:
         if self.local is not None:
             self.local = os.path.abspath(self.local)
 
+    @property
+    def scheme(self) -> str:
+        if self.local is not None:
+            return "file"
+        default = self.spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        return (self.root if ":/" in self.root else default).split(":", 1)[0].lower()
+
     def _check(self, key: str) -> str:
         if not key or key.startswith("/") or "\\" in key or any(p in ("", ".", "..") for p in key.split("/")):
             raise ValueError(f"not a key: {key!r}")
@@ -89,17 +105,23 @@ class Storage:
                 return False
             finally:
                 os.unlink(temporary)
+        scheme = self.scheme
+        if scheme not in ATOMIC | CONDITIONAL and scheme not in self.spark.conf.get(VOUCHED, "").replace(" ", "").split(","):
+            raise TableError(f"commits to {scheme}: are not known to be atomic; name it in {VOUCHED} if no two writers can both create a file")
         fs, path = self._fs(key)
         if fs.exists(path):
             return False
         try:
-            stream = fs.create(path, False)
+            if scheme in CONDITIONAL:
+                stream = fs.createFile(path).recursive().overwrite(False).must(_CONDITION, "true").build()
+            else:
+                stream = fs.create(path, False)
+            stream.write(data)
+            stream.close()
         except Exception:
             if fs.exists(path):
-                return False
+                return self.read(key) == data  # told apart by the random names that every commit holds
             raise
-        stream.write(data)
-        stream.close()
         return True
 
     def write(self, key: str, data: bytes) -> None:

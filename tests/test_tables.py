@@ -434,3 +434,122 @@ def test_records(spark, path):
     other.table.evolve_schema(T.StructType([f for f in other.table.schema if f.name != "age"]))
     with pytest.raises(TypeError):
         other.read_all()
+
+
+@pytest.mark.parametrize("operation", ["delete", "upsert", "optimize", "z_order"])
+def test_a_schema_change_between_staging_and_commit_is_noticed(spark, path, monkeypatch, operation):
+    from lakewright.operators import maintain, mutate
+    from lakewright.sources import writer
+
+    t = grown(spark, path, [1, 2, 3], [4, 5])
+    t.evolve_schema(T.StructType([*t.schema, column("city", "string")]))
+    t.append(people(spark, [6]).withColumn("city", F.lit("Rome")))
+    real, raced = writer.stage, []
+
+    def stage(*args, **options):
+        staged = real(*args, **options)
+        if not raced:
+            raced.append(1)
+            other = VersionedTable(spark, path)
+            other.evolve_schema(T.StructType([*other.schema, column("level", "int", default=7)]))
+        return staged
+
+    for module in (mutate, maintain):
+        monkeypatch.setattr(module.writer, "stage", stage)
+    act = {
+        "delete": lambda: t.delete("id = 2"),
+        "upsert": lambda: t.upsert(people(spark, [2], age=50), "id"),
+        "optimize": t.optimize,
+        "z_order": lambda: t.optimize_z_order("id"),
+    }
+    act[operation]()
+    assert raced and ids(VersionedTable(spark, path).read()) == [i for i in range(1, 7) if operation != "delete" or i != 2]
+    assert t.schema.names == ["id", "name", "age", "city", "level"] and {r.level for r in t.read().collect()} <= {7, None}
+    assert t.read().where("level = 7").count() >= 3
+
+
+def test_a_merge_works_out_its_source_once(spark, path):
+    t = grown(spark, path, range(20))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = people(spark, range(15, 25), age=99).mapInArrow(counted, PEOPLE).withColumn("none", F.lit(None)).drop("none")
+    t.upsert(source, "id")
+    assert seen.value == 10 and ids(t.read()) == list(range(25)) and t.read().where("age = 99").count() == 10
+    t.merge(people(spark, [1, 30]).withColumn("age", F.lit(None)), "id", MergeSpec().when_matched_update({"name": "'m'", "age": "s.age"}).when_not_matched_insert())
+    assert t.read().where("id in (1, 30) and age is null").count() == 2 and ids(t.read()) == [*range(25), 30]
+    assert t.storage.names("_work") == []
+
+
+def test_hadoop_file_systems_and_unsafe_ones(spark, tmp_path):
+    from lakewright.sources.storage import Storage
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.lake.link./t", f"file://{tmp_path}")
+    t = VersionedTable(spark, "viewfs://lake/t/table")
+    t.append(people(spark, [1, 2, 3]))
+    t.upsert(people(spark, [3, 4], age=9), "id")
+    t.delete("id = 1")
+    t.checkpoint()
+    assert ids(VersionedTable(spark, "viewfs://lake/t/table").read()) == [2, 3, 4] and t.version == 2
+    assert t.storage.put_if_absent("x/1", b"a") and not t.storage.put_if_absent("x/1", b"b") and t.storage.read("x/1") == b"a"
+    with pytest.raises(ValueError, match="consumer"):
+        from lakewright.streaming.source import read_stream
+
+        read_stream(spark, t)
+    unsafe = Storage(spark, "nosuch://bucket/table")
+    with pytest.raises(TableError, match="atomic"):
+        unsafe.put_if_absent("_log/0", b"x")
+
+
+def test_a_create_that_fails_because_of_another_writer_is_no_commit(spark, tmp_path, monkeypatch):
+    from lakewright.sources.storage import Storage
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.pond.link./u", f"file://{tmp_path}")
+    one, two = Storage(spark, "viewfs://pond/u/table"), Storage(spark, "viewfs://pond/u/table")
+    real = one._fs
+
+    class Late:
+        """A file system whose first look finds nothing, just before another writer's file appears."""
+
+        def __init__(self, fs):
+            self.fs, self.looked = fs, False
+
+        def exists(self, path):
+            if not self.looked:
+                self.looked = True
+                assert two.put_if_absent("_log/1", b"other")
+                return False
+            return self.fs.exists(path)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    late = Late(real("_log/1")[0])
+    monkeypatch.setattr(one, "_fs", lambda key: (late, real(key)[1]))
+    assert one.put_if_absent("_log/1", b"mine") is False and two.read("_log/1") == b"other"
+
+
+def test_times_are_searched(spark, path):
+    t = grown(spark, path, *[[i] for i in range(6)])
+    times = [t.log.time(v) for v in range(6)]
+    for v, at in enumerate(times):
+        assert t.snapshot_as_of(at).version == max(k for k in range(6) if times[k] <= at) >= v
+    with pytest.raises(VersionNotFound):
+        t.snapshot_as_of(times[0] - 1)
+
+
+def test_the_streaming_source_opens_uris(spark, path):
+    from lakewright.streaming.source import VersionReader, _Log
+
+    t = grown(spark, path, [1, 2], [3])
+    log = _Log(f"file://{path}")
+    assert log.latest() == 1 and len(log.added(-1, 1)) == 2
+    reader = VersionReader(f"file://{path}", t.schema, -1)
+    parts = reader.partitions({"version": -1}, reader.latestOffset())
+    assert sorted(i for p in parts for b in reader.read(p) for i in b.column("id").to_pylist()) == [1, 2, 3]
