@@ -9,6 +9,7 @@ best-fit plans are the first incumbents. Each piece then finds its place by its
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -23,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, typed, utf8
+from .common import Scratch, groups, prefix_sums, span_hashes, typed, utf8, words
 
-CACHED = 400_000  # words that a worker keeps
-CHUNK = 1 << 20
+CACHED = 300_000  # words after which a worker's cache becomes the older of its two
+CHUNK = 1 << 21
 STEPS = 100_000  # of the plan's search
-_PLAIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+# A word of a line, told apart from the signs after it; other words have neither.
+_WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,!?;:]*)|.*)$", re.M)
 
 
 class WordTokenizer:
@@ -47,52 +49,69 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a run
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        plain: set[bytes] = set()
+        plain: dict[bytes, str] = {}
         pairs, others = [], []
-        for w in words:
-            stem = w.rstrip(b".,!?;:")
-            text = stem.decode("utf-8", "replace")
-            if not text or text.strip(_PLAIN):
+        for w, (stem, signs) in zip(words, _WORD.findall(b"\n".join(words).decode()), strict=True):
+            if not stem:
                 others.append(w)
-                continue
-            if stem not in self.known:
-                plain.add(stem)
-            if len(stem) < len(w):
-                pairs.append((w, stem, w[len(stem) :]))
-                others.append(w[len(stem) :])
-        runs = list(plain)
+            elif signs:
+                n = len(w) - len(signs)
+                pairs.append((w, w[:n], w[n:]))
+                plain[w[:n]] = stem
+                others.append(w[n:])
+            else:
+                plain[w] = stem
+        runs = [w for w in plain if w not in self.known]
         for i in range(0, len(runs), 512):
             part = runs[i : i + 512]
-            ids = np.array(self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join([plain[w] for w in part])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
                 raw = ids.tobytes()
                 at = [0, *(4 * ends).tolist()]
                 self.known.update(zip(part, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
             else:
-                self.known.update(zip(part, self._encode([p.decode() for p in part]), strict=True))
+                self.known.update(zip(part, self._encode([plain[w] for w in part]), strict=True))
         others = [w for w in dict.fromkeys(others) if w not in self.known]
-        self.known.update(zip(others, self._encode([w.decode("utf-8", "replace") for w in others]), strict=True))
-        for w, stem, rest in pairs:
-            self.known[w] = self.known[stem] + self.known[rest]
+        self.known.update(zip(others, self._encode([w.decode() for w in others]), strict=True))
+        for w, stem, signs in pairs:
+            self.known[w] = self.known[stem] + self.known[signs]
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+    def _of(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of words that all differ."""
         if len(self.known) > CACHED:
-            self.known.clear()
-        new = {w for s in split if s for w in s}
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            yield b"".join(map(get, s)) if s is not None else self._encode([t.decode("utf-8", "replace")])[0]
+            self.known, self.older = {}, self.known
+        found = [*map(self.known.get, distinct)]
+        absent = [w for w, ids in zip(distinct, found, strict=True) if ids is None]
+        if not absent:
+            return found
+        back = [w for w in absent if w in self.older]
+        self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+        if len(back) < len(absent):
+            self._learn([w for w in absent if w not in self.known] if back else absent)
+        return [*map(self.known.__getitem__, distinct)]
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; words are looked up once for all texts."""
+        low = b"".join(texts).lower()
+        data, offsets = np.frombuffer(low, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        start, end, first = words(data, offsets)
+        _, one, of = np.unique(span_hashes(prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        found = self._of([low[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, count = (np.cumsum(size) - size)[of], size[of]
+        till = np.concatenate([[0], np.cumsum(count)])
+        raw = flat[np.repeat(at - till[:-1], count) + np.arange(till[-1])].tobytes()
+        bounds = (4 * till[first]).tolist()
+        for t, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            yield raw[a:b] if b"<|" not in t else self._encode([t.decode()])[0]
 
 
 @lru_cache(maxsize=2)

@@ -27,6 +27,18 @@ def test_word_by_word_ids_equal_the_tokenizers():
         assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_the_older_cache_come_back(monkeypatch):
+    from lakewright.llm import packing
+
+    monkeypatch.setattr(packing, "CACHED", 5)
+    model, words = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    r = random.Random(2)
+    for _ in range(60):
+        texts = [" ".join(r.choice(["the", "estiones.", "ouer,", "naïve!?", "a1", "x", "Lying", "é", "###", "one,"]) for _ in range(r.randint(0, 5))) for _ in range(3)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.ids([t.encode() for t in texts])]
+        assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def fewest(items, capacity):
     """Exact number of bins, for small cases."""
     items = sorted(items, reverse=True)
