@@ -207,6 +207,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = GRAM) -> DataFr
     flags = found.where("found").select("anchor", "digest", "at").union(across.join(common, ["anchor", "window"]).select("anchor", "digest", "at"))
     flags = flags.groupBy("anchor", "digest").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     hits = kinds.select("anchor", "digest", "n").join(flags, ["anchor", "digest"], "left").where("n > 1 or ats is not null")
+    # Written first, like `shared`: the rows of a hot segment are then split, or meet a small table without a shuffle.
+    hits = scratch.keep(hits)
+    scratch.drop(kinds, found)
     spans = places.join(hits, ["anchor", "digest"])
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("windows") + (length - 1)).alias("end")))
     parts = F.transform("ats", lambda x: F.struct((F.col("start") + x).alias("start"), (F.col("start") + x + length).alias("end")))
