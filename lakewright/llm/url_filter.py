@@ -34,23 +34,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     Rules with a null or empty host or another verdict are passed over; a null path of a rule is empty. Repeated
     rows are judged each. Earlier columns named host, path, rule or verdict are replaced.
 
-    The driver learns only which pairs of host labels and path lengths rules have.
+    Nothing is collected: rules are joined by the number of their host's labels, which tells the path lengths to try,
+    then by digest.
     """
     host, path = host_and_path(F.col(f"`{url}`"))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     rules = rules.select(F.translate(F.col("host"), _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rules = rules.where("host <> '' and verdict in ('allow', 'block')")
     rules = rules.withColumns({"labels": F.size(F.split("host", r"\.")), "chars": F.length("path")})
-    shapes = sorted((r.labels, r.chars) for r in rules.select("labels", "chars").distinct().collect())
+    lengths = rules.groupBy("labels").agg(F.collect_set("chars").alias("lengths"))
     digest = _digest(F.col("host"), F.col("path"))
     rules = rules.select(digest.alias("full"), F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"), (F.col("verdict") == "block").alias("block"), F.concat("host", "path").alias("rule"), "verdict").alias("r"))
     rules = rules.groupBy("full").agg(F.max("r").alias("r")).withColumn("short", F.substring("full", 1, PREFIX))
     urls = pages.select("host", "path").distinct()
-    if shapes:
-        wide = [F.when((F.length("path") >= p), _digest(F.substring_index("host", ".", -n), F.substring("path", 1, p))) for n, p in shapes]
-        expanded = urls.select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*wide)))).alias("digest"))
-    else:
-        expanded = urls.select("host", "path", F.lit("").alias("digest")).limit(0)
+    # A URL's own host suffixes, and of its path the prefixes as long as those of rules with so many labels.
+    suffixes = urls.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("labels"))
+    prefixes = F.filter("lengths", lambda n: n <= F.length("path"))
+    expanded = suffixes.join(lengths, "labels").select("host", "path", "labels", F.explode(prefixes).alias("chars"))
+    expanded = expanded.select("host", "path", _digest(F.expr("substring_index(host, '.', -labels)"), F.left("path", F.col("chars"))).alias("digest"))
     expanded = expanded.withColumn("short", F.substring("digest", 1, PREFIX))
     judged = expanded.join(rules, "short").where("digest = full").groupBy("host", "path").agg(F.max("r").alias("r"))
     names = ["_lakewright_host", "_lakewright_path", "_lakewright_rule"]

@@ -63,3 +63,20 @@ def test_against_brute_force(spark, seed):
     rules = [(host(), path(), r.choice(["allow", "block"])) for _ in range(40)]
     urls = [f"http://{host()}/{path()}{r.choice(['', '?q=/a', '#f'])}" for _ in range(300)]
     check(spark, urls, rules)
+
+
+def test_many_shapes_of_rules(spark):
+    r = random.Random(3)
+    hosts = [".".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    paths = ["/" + "".join(r.choice("xy/") for _ in range(r.randint(0, 60))) for _ in range(60)]
+    rules = list({(r.choice(hosts), r.choice(paths)[: r.randint(0, 61)]): r.choice(["allow", "block"]) for _ in range(1500)}.items())
+    rules = [(h, p, v) for (h, p), v in rules]
+    urls = [f"http://{r.choice(['', 'a.', 'z.c.'])}{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?q', '#f'])}" for _ in range(300)] + ["http://" + "a." * 3000 + "b/x", "http:///x"]
+    out = filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    found = 0
+    for x in out.collect():
+        fits = [(len(h) + len(p), len(h), v == "block", h + p, v) for h, p, v in rules if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        want = max(fits)[3:] if fits else (None, "allow")
+        assert (x.rule, x.verdict) == want, x
+        found += bool(fits)
+    assert found > 100 and len({(h.count("."), len(p)) for h, p, _ in rules}) > 150
