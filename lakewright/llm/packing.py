@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, groups, prefix_sums, span_hashes, typed, utf8, words
 
 CACHED = 300_000  # words after which a worker's cache becomes the older of its two
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 STEPS = 100_000  # of the plan's search
 # A word of a line, told apart from the signs after it; other words have neither.
 _WORD = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,!?;:]*)|.*)$", re.M)
