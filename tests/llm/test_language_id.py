@@ -75,3 +75,50 @@ def test_no_rows_and_no_training_rows(spark):
     assert language_id(none, train_language_id(none)).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in language_id(one, train_language_id(one)).collect()] == ["und"]
+
+
+def plain_prediction(text, model):
+    """The languages of a text by the definition, word by word in plain Python."""
+    import math
+
+    from lakewright.llm.common import prefix_sums, span_hashes
+    from lakewright.llm.language_id import BITS, GRAM
+
+    raw = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in text).encode()
+    clean = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in raw)
+    like = []
+    for word in clean.split(b" "):
+        if word:
+            marked = np.frombuffer(b" " + word + b" ", np.uint8)
+            at = np.arange(len(word))
+            rows = span_hashes(prefix_sums(marked), at, at + GRAM) >> np.uint64(64 - BITS)
+            like.append([sum(float(model.logs[int(r), k]) for r in rows) / GRAM for k in range(len(model.languages))])
+
+    def em(chosen, rounds):
+        share = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(rounds):
+            total = dict.fromkeys(chosen, 0.0)
+            for x in like:
+                p = {k: share[k] * math.exp(x[k] - max(x)) for k in chosen}
+                for k in chosen:
+                    total[k] += p[k] / (sum(p.values()) + 1e-300)
+            share = {k: total[k] / len(like) for k in chosen}
+        return share, sum(max(x) + math.log(sum(share[k] * math.exp(x[k] - max(x)) for k in chosen) + 1e-300) for x in like)
+
+    every = range(len(model.languages))
+    first = em(list(every), model.rounds)[0]
+    order = sorted(every, key=lambda k: (-first[k], k))
+    found = [em(order[:n], model.rounds if n > 1 else 1) for n in range(1, len(order) + 1)]
+    best = max(found, key=lambda f: f[1] - model.price * math.log(len(like) + 1) * (len(f[0]) - 1))[0]
+    return {model.languages[k]: s for k, s in best.items() if s > 0}
+
+
+def test_predictions_equal_a_plain_version(docs):
+    model = train_language_id(docs)
+    r = random.Random(9)
+    texts = [" ".join(text(r, lang, r.randint(1, 30)) for lang in r.sample(list(ALPHABETS), r.randint(1, 3))) for _ in range(40)] + ["É 5 x--y", "a"]
+    names, scores, sets = model.predict(pa.array(texts))
+    for t, name, score, found in zip(texts, names, scores, sets, strict=True):
+        want = plain_prediction(t, model)
+        assert {x for x, _ in found} == set(want), t
+        assert all(abs(s - want[x]) < 1e-4 for x, s in found) and abs(score - max(want.values())) < 1e-4 and abs(want[name] - max(want.values())) < 1e-4

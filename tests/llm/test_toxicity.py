@@ -80,3 +80,26 @@ def test_nothing_to_learn_from(spark):
     assert [r.predicted for r in toxicity(docs, train_toxicity(docs, none)).collect()] == [0, 0]
     assert toxicity(docs.limit(0), train_toxicity(docs.limit(0), none)).count() == 0
     assert Model(np.zeros(4), 0.0, 4, 2).scores(pa.array([], pa.string())).tolist() == []
+
+
+def test_scores_equal_a_plain_version(model):
+    from lakewright.llm.common import prefix_sums, span_hashes
+
+    def plain(text):
+        words = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in (text or "").lower().encode()).split()
+        grams = []
+        for w in words:
+            marked = np.frombuffer(b" " + w + b" ", np.uint8)
+            sums, mine = prefix_sums(marked), []
+            for n in GRAMS:
+                at = np.arange(max(0, len(marked) - n + 1))
+                mine += (span_hashes(sums, at, at + n) * np.uint64(2 * n + 1) >> np.uint64(64 - model.bits)).tolist()
+            grams.append([float(model.weights[g]) for g in mine])
+        best = []
+        for k in range(max(1, len(words) - model.span + 1)):
+            passage = [x for g in grams[k : k + model.span] for x in g]
+            best.append(sum(passage) / max(1, len(passage)) + model.bias)
+        return 1 / (1 + np.exp(-np.clip(max(best), -40, 40)))
+
+    t = [x for _, x, _ in texts(60, 8)] + [None, "", "...", "é", "One two"]
+    assert np.allclose(model.scores(pa.array(t, pa.string())), [plain(x) for x in t], atol=1e-6)
