@@ -87,6 +87,13 @@ def row_digest(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), text), F.lit("null")))))
 
 
+def tile_side(rows: Column, least: int, most: Column | int) -> Column:
+    """Rows to a side of the tiles in which the rows of a hot group meet: as the square root of their number grows, from
+    `least` to `most`, so that n rows are copied n * sqrt(n / least) times at first and n * n / most times at worst."""
+    grown = F.lit(least) * F.ceil(F.sqrt(rows / least))
+    return F.least(grown, most if isinstance(most, Column) else F.lit(most))
+
+
 def utf8(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes and its n + 1 offsets; nulls are empty."""
     if isinstance(arr, pa.ChunkedArray):

@@ -102,3 +102,42 @@ def test_large_cells_are_split_into_blocks(spark):
     out = {k.vec_id: k.n_links for k in embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     have = np.array([out[i] for i in range(1300)])
     assert (have <= want).all() and have.sum() > 0.98 * want.sum()
+
+
+def test_tiles_lose_no_link(spark, monkeypatch):
+    from lakewright.llm import embedding_dedup as module
+
+    r = np.random.default_rng(9)
+    base = r.normal(size=(3, 8))
+    rows = [(i, [float(x) for x in base[i % 3] + r.normal(0, 0.05, 8)], 1) for i in range(150)]
+    whole = got(spark, rows)
+    monkeypatch.setattr(module, "TILE", 1)
+    for least, passing in ((2, 1), (7, 3)):
+        monkeypatch.setattr(module, "BLOCK", least)
+        monkeypatch.setattr(module, "PASSING", passing)
+        assert got(spark, rows) == whole
+
+
+def test_a_tile_is_the_same_in_batches_and_at_once():
+    import pyarrow as pa
+
+    from lakewright.llm.embedding_dedup import _linked
+
+    r = np.random.default_rng(10)
+    vectors = r.normal(size=(1, 8)) + r.normal(0, 0.05, (40, 8))
+    names = [bytes(r.integers(0, 256, 16, dtype=np.uint8)) for _ in vectors]
+    rows = [{"cell": 1, "block": 0, "part": 0, "role": k, "cls": c, "n": i + 1, "vec": v.tobytes(), "tab": 0} for k in (0, 1) for i, (c, v) in enumerate(zip(names, vectors, strict=True))]
+
+    def links(step):
+        parts = [pa.RecordBatch.from_pylist(rows[i : i + step]) for i in range(0, len(rows), step)]
+        counts = Counter()
+        for out in _linked(iter(parts), 0.98, 1, 3, 0.01):
+            for x in out.to_pylist():
+                if x["b"] is None:
+                    counts[x["a"]] += x["n"]
+        return counts
+
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    want = Counter({c: int((near[i] * np.arange(1, 41)).sum() - i - 1) for i, c in enumerate(names)})
+    assert links(80) == links(7) == +want
