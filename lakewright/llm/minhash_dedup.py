@@ -2,7 +2,7 @@
 
 Texts with equal sets form one class. Classes that share a band of MinHash values meet in a bucket. Each member of a
 bucket is compared with the bucket's pivot; after that only members of buckets that still hold several components are
-compared with each other, in blocks, and only where they lie in different components. So no group is expanded into all
+compared with each other, in tiles, and only where they lie in different components. So no group is expanded into all
 its pairs, and no link that could join two components is left out.
 """
 
@@ -16,12 +16,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_digest, span_hashes, typed, utf8, words
+from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_digest, span_hashes, tile_side, typed, utf8, words
 from .graph import components
 
 ROWS, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 3e-6
 SKETCH, BINS = 8192, 1 << 17  # bits of a sketch; bins that its samples are taken from
-BLOCK = 1024  # members of a bucket that are compared at a time
+BLOCK = 1024  # members of a bucket that are held by a task, at least; rows that pass by at a time
+MOST = 16 * BLOCK  # members that are held at most, 1.3 KB each
+PASSING = 8  # rows that pass by a task for each member it holds
 CHUNK = 1 << 18
 
 _rng = np.random.default_rng(19970529)
@@ -159,8 +161,8 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> It
 
 
 def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of different components within a block of a bucket: its members, which come first and are held,
-    against the bucket's minority, which passes by in parts."""
+    """Likely pairs of different components within a tile of a bucket: its members, which come first and are held,
+    against a part of the bucket's minority, BLOCK rows at a time."""
 
     def out(members: list[tuple], minority: list[tuple]) -> pa.RecordBatch:
         rows, a, b = members + minority, [], []
@@ -182,13 +184,13 @@ def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
 
     members, minority, key = [], [], None
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "cls", "root", "sketch", "size", "samples", "lone", "all_bands")], strict=True):
-            if row[:2] != key or len(minority) >= BLOCK:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("band", "block", "part", "cls", "root", "sketch", "size", "samples", "lone", "all_bands")], strict=True):
+            if row[:3] != key or len(minority) >= BLOCK:
                 yield out(members, minority)
                 minority = []
-                if row[:2] != key:
-                    members, key = [], row[:2]
-            (minority if row[7] else members).append((key, *row[2:]))
+                if row[:3] != key:
+                    members, key = [], row[:3]
+            (minority if row[8] else members).append((key, *row[3:]))
     yield out(members, minority)
 
 
@@ -253,14 +255,17 @@ def minhash_dedup(docs: DataFrame, words_per_shingle: int = 5, per_cent: int = 8
     placed = members.join(roots, F.col("cls") == F.col("vertex"), "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed_bands = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
-    mixed_bands = mixed_bands.select("band", F.col("top.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    side = tile_side(F.col("all"), BLOCK, MOST)
+    blocks, parts = F.ceil(F.col("all") / side), F.ceil((F.col("all") - F.col("top.n")) / (side * PASSING))
+    mixed_bands = mixed_bands.select("band", F.col("top.root").alias("major"), blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts"))
     left = placed.join(mixed_bands, "band").join(sketches, "cls").join(every_band, "cls")
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    one_of = lambda n, salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     common = ["band", "cls", "root", "sketch", "size", "samples", "all_bands"]
-    minority = left.where("root <> major").select(*common, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("lone"))
-    rest = left.select(*common, block.alias("block"), F.lit(False).alias("lone")).union(minority)
+    minority = left.where("root <> major").select(*common, each_of("blocks").alias("block"), one_of("parts", 1).alias("part"), F.lit(True).alias("lone"))
+    rest = left.select(*common, one_of("blocks", 0).alias("block"), each_of("parts").alias("part"), F.lit(False).alias("lone")).union(minority)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "band", "block").sortWithinPartitions("band", "block", "lone").mapInArrow(lambda x: _across(x, near), "a binary, b binary").distinct()
+    rest = rest.repartition(n, "band", "block", "part").sortWithinPartitions("band", "block", "part", "lone").mapInArrow(lambda x: _across(x, near), "a binary, b binary").distinct()
     rest = scratch.keep(rest.join(likely, ["a", "b"], "left_anti"))
     if rest.take(1):
         more = scratch.keep(linked(rest))

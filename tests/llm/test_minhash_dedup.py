@@ -151,10 +151,13 @@ def test_of_equal_rows_one_is_chosen_by_its_other_columns(spark):
     assert len(kept) == 2
 
 
-def test_blocks_and_parts_of_a_bucket_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("most,passing", [(48, 8), (2, 1)])
+def test_blocks_and_parts_of_a_bucket_lose_no_link(spark, monkeypatch, most, passing):
     from lakewright.llm import minhash_dedup as module
 
     monkeypatch.setattr(module, "BLOCK", 3)
+    monkeypatch.setattr(module, "MOST", most)
+    monkeypatch.setattr(module, "PASSING", passing)
     r = random.Random(11)
     core = [f"w{i}" for i in range(70)]
     data = []
