@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import ProtocolError, SchemaError
 from .functions.schema import column
 from .operators.mutate import MergeSpec
+from .plans.actions import AddFile, RemoveFile
+from .records import SCHEMA as RECORDS
+from .records import Record, RecordTable
 from .streaming.source import read_stream
 from .table import VersionedTable
 
@@ -366,6 +370,118 @@ def snapshot_files(spark, sf_dir):
     return table.snapshot().files_df(spark).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
+def _raises(error: type[Exception], call: Callable) -> bool:
+    try:
+        call()
+    except error:
+        return True
+    return False
+
+
+@query("SELECT o.* FROM orders o WHERE o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-06-30' AND o_orderpriority BETWEEN '2' AND '4' AND o_totalprice BETWEEN 500.5 AND 250000")
+def filter_range_types(spark, sf_dir):
+    table = new(spark, *halves(source(spark, sf_dir, "orders"), "o_orderkey"))
+    return table.read(where={"o_orderdate": (dt.datetime(1994, 1, 1), dt.datetime(1997, 6, 30)), "o_orderpriority": ("2", "4"), "o_totalprice": (500.5, 250000)})
+
+
+@query("SELECT count(*) AS rows, true AS all_files_before, true AS fewer_after FROM lineitem WHERE l_partkey BETWEEN 5 AND 20")
+def zorder_prunes(spark, sf_dir):
+    table = new(spark, *[d.coalesce(1) for d in halves(source(spark, sf_dir, "lineitem"), "l_orderkey", 8)])
+    wanted = {"l_partkey": (5, 20)}
+    before = len(table.candidates(wanted)) == table.snapshot().file_count
+    table.optimize_z_order("l_partkey", "l_shipdate")
+    after = len(table.candidates(wanted)) < table.snapshot().file_count
+    return table.read(where=wanted).agg(F.count("*").alias("rows"), F.lit(before).alias("all_files_before"), F.lit(after).alias("fewer_after"))
+
+
+@query("SELECT * FROM orders")
+def optimize_async(spark, sf_dir):
+    table = new(spark, *halves(source(spark, sf_dir, "orders"), "o_orderkey", 4))
+    table.optimize_async().join()
+    return table.read(version=4)
+
+
+@query("SELECT count(DISTINCT o_orderkey % 4) AS superseded, CAST(0 AS BIGINT) AS young, count(DISTINCT o_orderkey % 4) AS deleted, CAST(0 AS BIGINT) AS again, count(*) AS rows FROM orders")
+def vacuum_deletes(spark, sf_dir):
+    table = new(spark, *[d.coalesce(1) for d in halves(source(spark, sf_dir, "orders"), "o_orderkey", 4)])
+    table.optimize()
+    counts = {"superseded": len(table.snapshot().tombstones)}
+    table.set_retention(dt.timedelta(days=1))
+    counts["young"] = table.vacuum()
+    table.set_retention(dt.timedelta(0))
+    counts |= {"deleted": table.vacuum(), "again": table.vacuum()}
+    return table.read().agg(F.count("*").alias("rows"), *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
+
+
+@query(
+    "SELECT threads, version, rows_added, files_removed FROM (SELECT CAST(0 AS BIGINT) AS version, count(*) AS rows_added, CAST(0 AS BIGINT) AS files_removed FROM orders WHERE o_orderkey % 2 = 0 "
+    "UNION ALL SELECT 1, count(*), 0 FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 2, count(*), 2 FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)) CROSS JOIN (VALUES (CAST(1 AS BIGINT)), (4)) AS t(threads)"
+)
+def tail_actions(spark, sf_dir):
+    table = new(spark, *[d.coalesce(1) for d in halves(source(spark, sf_dir, "orders"), "o_orderkey")])
+    table.delete("o_orderstatus = 'F'")
+    rows = [(n, v, sum(a.stats.rows for a in actions if isinstance(a, AddFile)), sum(isinstance(a, RemoveFile) for a in actions)) for n in (1, 4) for v, actions in table.tail(-1, threads=n)]
+    return spark.createDataFrame(rows, "threads long, version long, rows_added long, files_removed long")
+
+
+@query("SELECT * FROM (VALUES ('append', true), ('delete', true), ('evolve', true), ('optimize', true), ('lower', true)) AS p(operation, refused)")
+def protocol_refused(spark, sf_dir):
+    orders = source(spark, sf_dir, "orders")
+    table = new(spark, orders)
+    table.upgrade_protocol(1, 2)
+    wider = T.StructType([*orders.schema, column("o_note", "string")])
+    calls = {"append": lambda: table.append(orders), "delete": lambda: table.delete("true"), "evolve": lambda: table.evolve_schema(wider), "optimize": table.optimize}
+    rows = [(name, _raises(ProtocolError, call)) for name, call in calls.items()]
+    return spark.createDataFrame([*rows, ("lower", _raises(ValueError, lambda: table.upgrade_protocol(1, 1)))], "operation string, refused boolean")
+
+
+@query("SELECT * FROM (VALUES ('required', true), ('narrowed', true), ('partition', true), ('two_from_one', true), ('not_null', true)) AS e(change, refused)")
+def evolve_refused(spark, sf_dir):
+    orders = source(spark, sf_dir, "orders")
+    table = new(spark, orders, partition_columns=["o_orderstatus"])
+
+    def changed(*extra: T.StructField, **columns: T.StructField) -> T.StructType:
+        return T.StructType([*[columns.get(f.name, f) for f in orders.schema], *extra])
+
+    schemas = {
+        "required": changed(column("o_note", "string", nullable=False)),
+        "narrowed": changed(o_totalprice=column("o_totalprice", "int")),
+        "partition": changed(o_orderstatus=column("o_state", "string", aliases=["o_orderstatus"])),
+        "two_from_one": changed(column("o_b", "double", aliases=["o_totalprice"]), o_totalprice=column("o_a", "double", aliases=["o_totalprice"])),
+        "not_null": changed(o_custkey=column("o_custkey", "long", nullable=False)),
+    }
+    rows = [(name, _raises(SchemaError, lambda schema=schema: table.evolve_schema(schema))) for name, schema in schemas.items()]
+    return spark.createDataFrame(rows, "change string, refused boolean")
+
+
+@query("SELECT * FROM (VALUES ('unrelated append', true), ('file read was removed', false), ('new file matches', false), ('metadata changed', false)) AS t(meanwhile, committed)")
+def transaction_conflicts(spark, sf_dir):
+    orders = source(spark, sf_dir, "orders")
+    rows = []
+
+    def attempt(meanwhile: str, watch: Callable, change: Callable) -> None:
+        table = new(spark, orders.coalesce(1))
+        txn = watch(table.begin_transaction(), table)
+        change(table)
+        rows.append((meanwhile, txn.commit([table.info(table.version, "CHECK")]) is not None))
+
+    attempt("unrelated append", lambda txn, t: txn.read_paths(t.snapshot().files), lambda t: t.append(orders))
+    attempt("file read was removed", lambda txn, t: txn.read_path(next(iter(t.snapshot().files))), lambda t: t.delete("true"))
+    attempt("new file matches", lambda txn, t: txn.fail_if_new_file_matches(lambda f: f.stats.rows > 0), lambda t: t.append(orders))
+    attempt("metadata changed", lambda txn, t: txn.fail_on_metadata_changes(), lambda t: t.set_retention(dt.timedelta(1)))
+    return spark.createDataFrame(rows, "meanwhile string, committed boolean")
+
+
+@query("SELECT id, name, age FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey + CASE WHEN n_nationkey >= 10 THEN 1 ELSE 0 END AS INTEGER) AS age FROM nation) WHERE age <> 0 AND id BETWEEN 3 AND 20")
+def records(spark, sf_dir):
+    nations = [Record(r.n_nationkey, r.n_name, r.n_regionkey) for r in source(spark, sf_dir, "nation").collect()]
+    table = RecordTable(VersionedTable(spark, workspace(spark)))
+    table.append([r for r in nations if r.id < 15])
+    table.upsert([Record(r.id, r.name, r.age + 1) for r in nations if r.id >= 10])
+    table.delete("age = 0")
+    return spark.createDataFrame([(r.id, r.name, r.age) for r in table.query_id_range(3, 20)], RECORDS)
+
+
 _JOIN = "SELECT n_name AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 _AGG = "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus"
 _WINDOW = "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders"
@@ -401,6 +517,14 @@ def sql_view_topk(spark, sf_dir):
     return _views(spark, sf_dir, _TOPK, "orders")
 
 
+_APPROX = "SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders"
+
+
+@query(_APPROX)
+def sql_view_approx_distinct(spark, sf_dir):
+    return _views(spark, sf_dir, _APPROX, "orders")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in two commits, counted by status through a view."""
     view = f"orders_{uuid.uuid4().hex[:12]}"
