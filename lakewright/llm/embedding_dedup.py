@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mixed, tile_side
+from .common import Scratch, mixed, tidy, tile_side
 from .graph import components
 from .lattice import probes
 
@@ -57,6 +57,7 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@tidy
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls, raw = [], []
@@ -74,6 +75,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(cls, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "cls", "vec"])
 
 
+@tidy
 def _celled(batches: Iterator[pa.RecordBatch], tables: int, count: int, scale: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = batch.column("vec").to_pylist()
@@ -133,6 +135,7 @@ class _Targets:
         return self._codes
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch], least: float, tables: int, count: int, scale: float) -> Iterator[pa.RecordBatch]:
     """Within each tile, sources against targets: what a link adds to the count of each class, and links that span."""
     key, kept = None, None

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ship
-from .common import groups, prefix_sums, span_hashes, typed, utf8
+from .common import groups, prefix_sums, span_hashes, tidy, typed, utf8
 from .toxicity import _MARK, lowered
 
 BITS = 16
@@ -130,6 +130,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:

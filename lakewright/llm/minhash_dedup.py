@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_digest, span_hashes, tile_side, typed, utf8, words
+from .common import LOWER, Scratch, groups, mixed, prefix_sums, row_digest, span_hashes, tidy, tile_side, typed, utf8, words
 from .graph import components
 
 ROWS, BANDS = 5, 32  # a pair of similarity 0.8 shares no band with probability 3e-6
@@ -109,6 +109,7 @@ def _bands(least: np.ndarray) -> np.ndarray:
     return mixed((parts * _FOLD[:ROWS, :BANDS].T).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) * _FOLD[6, 0])
 
 
+@tidy
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, cls, bands, sketch, samples = [], [], [], [], []
@@ -136,6 +137,7 @@ def _stack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
+@tidy
 def _likely(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -144,6 +146,7 @@ def _likely(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.Recor
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> Iterator[pa.RecordBatch]:
     last, kept = None, None
     for batch in batches:
@@ -160,6 +163,7 @@ def _verified(batches: Iterator[pa.RecordBatch], size: int, per_cent: int) -> It
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+@tidy
 def _across(batches: Iterator[pa.RecordBatch], near: float) -> Iterator[pa.RecordBatch]:
     """Likely pairs of different components within a tile of a bucket: its members, which come first and are held,
     against a part of the bucket's minority, BLOCK rows at a time."""

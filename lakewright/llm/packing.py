@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups, prefix_sums, span_hashes, typed, utf8, words
+from .common import Scratch, groups, prefix_sums, span_hashes, tidy, typed, utf8, words
 
 CACHED = 300_000  # words after which a worker's cache becomes the older of its two
 CHUNK = 1 << 20
@@ -119,6 +119,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     model, end = _tokenizer(path), end_id.to_bytes(4, "little")
     seen = np.zeros(capacity + 1, np.int64)

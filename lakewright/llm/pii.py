@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ship
+from .common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -244,6 +245,7 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 def pii_spans(text: Column) -> Column:
     """The spans of a text column: code points, end exclusive; by kind (email, ip, card, phone), then start."""
 
+    @tidy
     def found(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([[dict(zip(("kind", "start", "end", "disguised"), r, strict=True)) for r in find(t)] for t in texts.to_pylist()], _TYPE)
@@ -269,6 +271,7 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; of overlapping spans the first names the whole."""
 
+    @tidy
     def done(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array([masked(t, s) if (s := find(t)) else t for t in texts.to_pylist()], pa.string())

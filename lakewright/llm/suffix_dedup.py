@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gram_hashes, groups, row_key, typed, utf8, window_min
+from .common import Scratch, gram_hashes, groups, row_key, tidy, typed, utf8, window_min
 
 GRAM = 32
 CHUNK = 1 << 18  # bytes that are hashed at a time; also the longest run of windows of one text
@@ -56,6 +56,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, chun
             yield owner[of], at + (base if hi - lo > chunk else lo), stop - at, h[least[at]]
 
 
+@tidy
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -65,6 +66,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["anchor", "n"])
 
 
+@tidy
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
@@ -79,6 +81,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             )
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of each text."""
     for batch in batches:
@@ -98,6 +101,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 _FLAGS = "anchor long, digest long, at int, window binary, found boolean"
 
 
+@tidy
 def _sorted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Windows that recur among the segments of an anchor; of an anchor in several parts, each part's windows."""
 
@@ -146,6 +150,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
+@tidy
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ship
-from .common import LOWER, groups, mixed, prefix_sums, span_hashes, typed, utf8
+from .common import LOWER, groups, mixed, prefix_sums, span_hashes, tidy, typed, utf8
 
 GRAMS = (3, 4, 5)
 CHUNK = 1 << 18
@@ -196,6 +196,7 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             yield pa.array(shared.value.scores(texts))
